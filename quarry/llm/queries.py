@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, exact_dedup, secret_scan
+from quarry.llm import bpe, decontamination, exact_dedup, secret_scan, token_counts
 
-_MODULES = (exact_dedup, decontamination, secret_scan)
+_MODULES = (exact_dedup, token_counts, decontamination, bpe, secret_scan)
 
 
 def queries() -> dict:
