@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontamination, exact_dedup, secret_scan, token_counts
+from quarry.llm import bpe, decontamination, exact_dedup, language_id, quality, secret_scan, token_counts
 
-_MODULES = (exact_dedup, token_counts, decontamination, bpe, secret_scan)
+_MODULES = (exact_dedup, language_id, token_counts, decontamination, bpe, secret_scan, quality)
 
 
 def queries() -> dict:
