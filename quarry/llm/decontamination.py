@@ -71,7 +71,9 @@ def exact_matches(
     """
     windows = written(benchmark_windows(benchmark, item_col, text_col, window), "bench-windows")
     lookups = _lookups(docs, windows, id_col, text_col)
-    listed = _postings(docs, id_col, text_col).join(lookups, "term")
+    # the terms alone are few and short, so that they can meet the postings before these are shuffled
+    rare = written(lookups.select("term").distinct(), "bench-rare")
+    listed = _postings(docs, id_col, text_col).join(rare, "term", "left_semi").join(lookups, "term")
     starts = (
         listed.filter(F.col("pos") >= F.col("offset"))
         .select("doc_id", "row_key", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "n_terms", "term")
