@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, minhash_dedup, quality, secret_scan, token_counts
+from quarry.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, minhash_dedup, quality, secret_scan, suffix_dedup, token_counts
 
-_MODULES = (exact_dedup, minhash_dedup, language_id, token_counts, line_dedup, decontamination, bpe, secret_scan, quality)
+_MODULES = (exact_dedup, minhash_dedup, suffix_dedup, language_id, token_counts, line_dedup, decontamination, bpe, secret_scan, quality)
 
 
 def queries() -> dict:
