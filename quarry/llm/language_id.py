@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import portions
-from quarry.llm.shared import table, whole_text
+from quarry.llm.shared import table, written
 
 ORDER = 3
 #: Bounds of the fit: labelled rows sampled for a language (their whole texts are used), bytes of the compiled table.
@@ -61,7 +61,8 @@ def sample(docs: DataFrame, per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang")
     )
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    # written, so that its size is known and the join need not move the texts to one task per language
+    share = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")), "language-shares")
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1_000_000)) * F.col("n_rows") < F.lit(per_lang * 1_000_000)
     return rows.join(share, "lang").filter(drawn).select("lang", "body")
 
