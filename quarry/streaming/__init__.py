@@ -1,0 +1 @@
+"""Nothing here yet: a scan is a batch query, and what it returns is an ordinary DataFrame, also as the source of a stream."""
