@@ -21,9 +21,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     Unlike cached blocks, the files outlive a lost executor, and their sizes tell Spark
-    whether a later join may broadcast them.
+    whether a later join may broadcast them.  The shuffles behind df are done with; Spark
+    deletes their files once the driver has collected what refers to them, so the disks
+    need to hold those of one step at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    forget_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find finished shuffles now, rather than at its next half-hourly collection."""
+    spark.sparkContext._jvm.System.gc()
