@@ -17,13 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import table, whole_text
 
-#: Words that a worker keeps encoded, and bytes of text that it works on at a time.
-KEPT_WORDS, BATCH_BYTES = 250_000, 4_000_000
+#: Words that a worker keeps encoded (and half as many as it keeps pairs of tokens), and bytes of text that it works on at a time.
+KEPT_WORDS, BATCH_BYTES = 150_000, 4_000_000
 #: The split into words that the vocabulary was built for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of single bytes, which re splits in half the time.
@@ -141,7 +142,7 @@ class Vocabulary:
         """Encode the words that are not known yet."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        if len(self.fits) > 8 * KEPT_WORDS:
+        if len(self.fits) > 2 * KEPT_WORDS:
             self.fits.clear()
         new = {w.encode(): w for w in words if w not in self.known}
         for word, tokens in self._walk(sorted(new)):
@@ -176,16 +177,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def portions(texts: list[str], most: int = BATCH_BYTES) -> Iterator[slice]:
-    """Slices of about so many characters, of one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
+def portions(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[slice, list]]:
+    """The texts of an Arrow column, about so many bytes at a time but one text at least, each time with their places."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop), column.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 def _type(df: DataFrame, col: str) -> str:
@@ -204,9 +203,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in portions(texts):
-                coded = vocab.encode_batch(texts[part])
+            for part, texts in portions(batch.column(1)):
+                coded = vocab.encode_batch(texts)
                 offsets = np.cumsum([0, *(len(c) // 4 for c in coded)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], ids], ["id", "ids"])

@@ -72,11 +72,11 @@ def count_contexts(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in portions(texts):
+            langs = batch.column(0).to_pylist()
+            for part, texts in portions(batch.column(1)):
                 for lang in set(langs[part]):
                     codes = []
-                    for t, of in zip(texts[part], langs[part], strict=True):
+                    for t, of in zip(texts, langs[part], strict=True):
                         if of == lang:
                             b = np.frombuffer(PAD + t.encode(), np.uint8).astype(np.uint32)
                             codes.append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
@@ -150,9 +150,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in portions([t or "" for t in texts]):
-                lang, score = zip(*shared.value.score(texts[part]), strict=True)
+            for part, texts in portions(batch.column(1)):
+                lang, score = zip(*shared.value.score(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(lang), pa.array(score)], ["row", "lang_pred", "score"])
 
     rows = docs.select(F.struct(F.col(id_col).alias("c0"), *[F.col(k).alias(f"c{i}") for i, k in enumerate(keep, 1)]).alias("row"), F.col(text_col).alias("body"))

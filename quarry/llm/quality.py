@@ -73,10 +73,9 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in portions(texts):
+            for part, texts in portions(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array([statistics(t) for t in texts[part]], pa.list_(pa.float64()))], ["doc_id", "stats"]
+                    [batch.column(0)[part.start : part.stop], pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "stats"]
                 )
 
     return docs.select(F.col(id_col), whole_text(text_col).alias("body")).mapInArrow(run, f"doc_id {kind}, stats array<double>")

@@ -122,9 +122,7 @@ def count_edited(rows: DataFrame, edits_col: str | None, id_col: str = "doc_id",
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in portions(texts):
-                some = texts[part]
+            for part, some in portions(batch.column(1)):
                 wanted = batch.column(2)[part.start : part.stop].to_pylist() if edits_col else redactions(some)
                 counted = count_batch(vocab, some, [clean_edits(e, len(t)) for e, t in zip(wanted, some, strict=True)])
                 columns = [pa.array(c, pa.int64()) for c in zip(*counted, strict=True)]
