@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
 Every benchmark window (ten consecutive words, or a shorter item as a whole) is looked up
-through its two rarest terms.  Term counts come from all documents.  Postings are only kept
+through its rarest term, and the next rarest where its list is not much longer.  Term counts come from all documents.  Postings are only kept
 for terms that some window looks up; each posting, moved back by the term's offset in the
 window, is a possible start, and starts on which both lists agree are compared with the
 document's own words.  So no list of a frequent term is ever read for a window that has a
@@ -18,21 +18,27 @@ from quarry.llm.shared import ascii_lower, row_key, table, whole_text, written
 #: What separates words, and the words in a window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-LOOKED_UP = 2
+#: A window's second term is looked up too if its list is at most so many times as long as the rarest one's.
+LONGER = 4
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(whole_text(text)), F.lit(WORD), F.lit(0))
 
 
+def window_key(words: Column | str) -> Column:
+    return F.xxhash64(F.array_join(words, " "))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """item_id, phrase: a row for each window of each item, phrases as space-joined words."""
+    """item_id, phrase, n_words, window_key: a row for each window of each item; phrases are words joined by blanks."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("item_words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("item_words") - window, F.lit(0)))
     return (
         items.filter(F.size("item_words") > 0)
         .select("item_id", "item_words", F.explode(starts).alias("at"))
-        .select("item_id", F.array_join(F.slice("item_words", F.col("at") + 1, F.lit(window)), " ").alias("phrase"))
+        .select("item_id", F.slice("item_words", F.col("at") + 1, F.lit(window)).alias("w"))
+        .select("item_id", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n_words"), window_key("w").alias("window_key"))
         .distinct()
     )
 
@@ -43,18 +49,20 @@ def _postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lookups(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, phrase, offset, n_terms: for each phrase its rarest terms, with all their offsets."""
-    terms = windows.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
+    """term, window_key, n_words, offset, n_terms: for each window its rarest terms, with an offset of each."""
+    terms = windows.select("window_key", "n_words", "phrase").distinct().select("window_key", "n_words", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     vocabulary = written(terms.select("term").distinct(), "bench-vocabulary")
     seen = docs.select(F.explode(words_of(F.col(text_col))).alias("term"))
     counts = seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
-    per_term = terms.groupBy("phrase", "term").agg(F.min("offset").alias("offset")).join(counts, "term")
-    # a phrase with a term that no document has is out; the others are ordered by rarity
-    ranked = per_term.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n_seen", "term", "offset"))).alias("ranked"))
-    whole = terms.groupBy("phrase").agg(F.countDistinct("term").alias("n_distinct"))
-    ranked = ranked.join(whole, "phrase").filter(F.size("ranked") == F.col("n_distinct"))
-    top = ranked.select("phrase", F.explode(F.slice("ranked", 1, LOOKED_UP)).alias("r"), F.least(F.col("n_distinct"), F.lit(LOOKED_UP)).alias("n_terms"))
-    return written(top.select(F.col("r.term").alias("term"), "phrase", F.col("r.offset").alias("offset"), "n_terms"), "bench-lookups")
+    per_term = terms.groupBy("window_key", "n_words", "term").agg(F.min("offset").alias("offset"))
+    # a window with a term that no document has is out; the terms of the others are ordered by rarity
+    ranked = per_term.join(counts, "term", "left").groupBy("window_key", "n_words").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n_seen", F.lit(0)).alias("n_seen"), "term", "offset"))).alias("ranked")
+    )
+    least = F.element_at("ranked", 1)["n_seen"]
+    top = F.filter(F.slice("ranked", 1, 2), lambda r: r["n_seen"] <= least * LONGER)
+    each = ranked.filter(least > 0).select("window_key", "n_words", F.size(top).alias("n_terms"), F.explode(top).alias("r"))
+    return written(each.select("r.term", "window_key", "n_words", "r.offset", "n_terms"), "bench-lookups")
 
 
 def exact_matches(
@@ -63,7 +71,8 @@ def exact_matches(
     """(hits, windows).
 
     hits has a row for each row of docs: ``doc_id, n_words, starts``, where ``starts`` lists
-    every occurrence of a window as ``(start, phrase)``; windows has ``item_id, phrase``.
+    every occurrence of a window as ``(start, n_words, window_key)``; windows has ``item_id,
+    phrase, n_words, window_key``.  Windows are compared by hashes of 64 bits.
 
     Null and empty texts have no words and no hits; null ids are an ordinary key; rows that
     share id and text are looked up once and all answered; items without words and an empty
@@ -76,20 +85,17 @@ def exact_matches(
     listed = _postings(docs, id_col, text_col).join(rare, "term", "left_semi").join(lookups, "term")
     starts = (
         listed.filter(F.col("pos") >= F.col("offset"))
-        .select("doc_id", "row_key", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "n_terms", "term")
-        .groupBy("doc_id", "row_key", "start", "phrase", "n_terms")
-        .agg(F.count_distinct("term").alias("n_met"))
-        .filter("n_met = n_terms")
+        .groupBy("doc_id", "row_key", (F.col("pos") - F.col("offset")).alias("start"), "window_key", "n_words", "n_terms")
+        .agg(F.count(F.lit(1)).alias("n_met"))
+        .filter("n_met >= n_terms")  # repeated rows count more than once
     )
     found = written(
-        starts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "phrase")).alias("candidates")), "bench-candidates"
+        starts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n_words", "window_key")).alias("candidates")), "bench-candidates"
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(whole_text(text_col)).alias("row_key"), F.col(text_col).alias("body"))
     rows = rows.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.row_key = f.row_key"), "left")
     rows = rows.select("d.doc_id", words_of(F.col("body")).alias("doc_words"), "candidates")
-    same = lambda c: F.array_join(
-        F.slice("doc_words", c["start"] + 1, F.size(F.split(c["phrase"], " "))), " "
-    ) == c["phrase"]
+    same = lambda c: window_key(F.slice("doc_words", c["start"] + 1, c["n_words"])) == c["window_key"]
     return rows.select(
         "doc_id",
         F.size("doc_words").cast("long").alias("n_words"),
@@ -129,11 +135,11 @@ def decontaminate(
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
     hits, windows = exact_matches(docs, benchmark, id_col, text_col, item_col, window)
     hits = written(hits, "bench-hits")
-    covered = lambda s: F.sequence(s["start"], s["start"] + F.size(F.split(s["phrase"], " ")) - 1)
+    covered = lambda s: F.sequence(s["start"], s["start"] + s["n_words"] - 1)
     dirty = hits.filter(F.size("starts") > 0)
-    pairs = dirty.select("doc_id", "starts", F.explode(F.array_distinct("starts.phrase")).alias("phrase")).select("doc_id", F.xxhash64("starts").alias("starts_key"), "phrase")
+    pairs = dirty.select("doc_id", F.xxhash64("starts").alias("starts_key"), F.explode(F.array_distinct("starts.window_key")).alias("window_key"))
     items = (
-        pairs.join(windows, "phrase")
+        pairs.join(windows.select("item_id", "window_key"), "window_key")
         .groupBy("doc_id", "starts_key")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
