@@ -10,8 +10,9 @@ the repeated strings.
    neighbouring strings mostly share theirs, so only one suffix in about forty takes part.
 2. Digit of a whole block: the stretch of strings with one anchor.  Equal blocks are equal
    string by string, so all but the block's first document are settled with one row.
-3. Digit of LENGTH bytes: the single strings of the blocks' first documents, and only where
-   several different blocks share an anchor.
+3. Digit of SIDE bytes: the anchor with as many bytes before or behind it that every string
+   of the block has one of the two.  Only first documents of blocks take part from here on.
+4. Digit of LENGTH bytes: the single strings around those sides that different blocks share.
 
 Groups are formed by hashes of 64 bits.  The least document of each group is found with
 partial minima on the map side, so no group, however large, is gathered in one task.  Texts
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import row_key, table, whole_text, written
+from quarry.llm.shared import forget_shuffles, row_key, table, whole_text, written
 
 LENGTH, ANCHOR = 100, 24
+#: Bytes on one side of the anchor: a string has that many before it, or else behind it.
+HALF = (LENGTH - ANCHOR) // 2
 #: Bytes of text that are worked on at a time; longer texts are taken in pieces.
 PIECE = 1 << 18
 _POSITION = np.uint64((1 << 20) - 1)
@@ -83,10 +86,10 @@ class Piece:
         return _mixed(_mixed(self._raw(0, start, end)) + self._raw(1, start, end) + (end - start).astype(np.uint64)).view(np.int64)
 
     def anchors(self) -> tuple[np.ndarray, ...]:
-        """For each block: its document's number, first and last string's start, its anchor's hash."""
+        """For each block: its document's number, first and last string's start, its anchor's hash and place."""
         n, width = len(self.data), LENGTH - ANCHOR + 1
         if n < LENGTH:
-            return (np.zeros(0, np.int64),) * 4
+            return (np.zeros(0, np.int64),) * 5
         s = self.sums[0]
         digit = _mixed((s[ANCHOR:] - s[:-ANCHOR]) * self.down[0][: n - ANCHOR + 1])
         low = digit & ~_POSITION | np.arange(len(digit), dtype=np.uint64)
@@ -102,11 +105,11 @@ class Piece:
         np.add.at(inside, ends[long] - LENGTH + 1, -1)
         place = np.flatnonzero(np.cumsum(inside)[: n - LENGTH + 1])
         if not len(place):
-            return (np.zeros(0, np.int64),) * 4
+            return (np.zeros(0, np.int64),) * 5
         where = (low[place] & _POSITION).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         first, last = place[new], place[np.concatenate([new[1:], [len(place)]]) - 1]
-        return self.docs[np.searchsorted(self.bounds, first, "right") - 1], first, last, digit[where[new]].view(np.int64)
+        return self.docs[np.searchsorted(self.bounds, first, "right") - 1], first, last, digit[where[new]].view(np.int64), where[new]
 
 
 def regions(column: pa.Array) -> Iterator[list[Piece]]:
@@ -145,21 +148,33 @@ def _flat(column: pa.ListArray, docs: slice | None = None) -> tuple[np.ndarray,
 
 
 def _block_rows(region: list[Piece]) -> tuple[np.ndarray, ...]:
-    """As `Piece.anchors` over a region, with the block's key; starts are places in the text's part of the batch."""
+    """As `Piece.anchors` over a region, with the block's key and the piece that the places are in."""
     out = []
-    for p in region:
-        doc, first, last, digit = p.anchors()
-        out.append((doc, first, last, digit, p.key(first, last + LENGTH), np.full(len(doc), p.at)))
+    for k, p in enumerate(region):
+        doc, first, last, digit, place = p.anchors()
+        out.append((doc, first, last, digit, place, p.key(first, last + LENGTH), np.full(len(doc), k)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sides(region: list[Piece], rows: tuple[np.ndarray, ...], keep: np.ndarray) -> list[pa.Array]:
+    """Keys of the stretches before and behind the kept anchors, null where no string of the block has that one."""
+    _, first, last, _, place, _, piece = (x[keep] for x in rows)
+    before, behind = np.zeros((2, len(keep)), np.int64)
+    has_before, has_behind = place - first >= HALF, place - last < HALF
+    for k, p in enumerate(region):
+        b, e = np.flatnonzero(has_before & (piece == k)), np.flatnonzero(has_behind & (piece == k))
+        before[b] = p.key(place[b] - HALF, place[b] + ANCHOR)
+        behind[e] = ~p.key(place[e], place[e] + ANCHOR + HALF)
+    return [pa.array(before, mask=~has_before), pa.array(behind, mask=~has_behind)]
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """``digit, doc_id, n``: each anchor of each document, n being 2 if the document has it more than once."""
 
     def run(batches):
         for batch in batches:
             for region in regions(batch.column(1)):
-                doc, _, _, digit, _, _ = _block_rows(region)
+                doc, digit = (_block_rows(region)[i] for i in (0, 3))
                 order = np.lexsort((digit, doc))
                 doc, digit = doc[order], digit[order]
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (digit[1:] != digit[:-1])])) if len(doc) else np.zeros(0, int)
@@ -170,45 +185,48 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def block_rows(crowded: DataFrame) -> DataFrame:
-    """``digit, block, doc_id``: the blocks of each document at anchors that occur elsewhere."""
+    """``block, before, behind, doc_id``: the blocks of each document at anchors that occur elsewhere, with their sides."""
 
     def run(batches):
         for batch in batches:
             wanted = _flat(batch.column(2))[1]
             for region in regions(batch.column(1)):
-                doc, _, _, digit, block, _ = _block_rows(region)
+                rows = _block_rows(region)
+                doc, digit, block = rows[0], rows[3], rows[5]
                 keep = np.flatnonzero(_among(digit, wanted))
                 keep = keep[np.unique(_of(doc[keep], block[keep]), return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(digit[keep]), pa.array(block[keep]), batch.column(0).take(pa.array(doc[keep]))], ["digit", "block", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[keep]), *_sides(region, rows, keep), batch.column(0).take(pa.array(doc[keep]))], ["block", "before", "behind", "doc_id"])
 
-    return crowded.select("doc_id", "body", "anchors").mapInArrow(run, f"digit bigint, block bigint, doc_id {crowded.schema['doc_id'].dataType.simpleString()}")
+    return crowded.select("doc_id", "body", "anchors").mapInArrow(run, f"block bigint, before bigint, behind bigint, doc_id {crowded.schema['doc_id'].dataType.simpleString()}")
 
 
-def _single_strings(region: list[Piece], rows: tuple[np.ndarray, ...], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in the batch, key) of every string in the chosen blocks."""
-    doc, first, last, _, _, at = rows
+def _single_strings(region: list[Piece], rows: tuple[np.ndarray, ...], before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start in the batch, key) of the strings around the chosen sides of blocks."""
+    doc, first, last, _, place, _, piece = rows
+    lo, hi = np.where(before, first, np.maximum(first, place - HALF + 1)), np.where(behind, last, np.minimum(last, place - HALF))
     out = []
-    for p in region:
-        mine = np.flatnonzero(chosen & (at == p.at))
-        sizes = last[mine] - first[mine] + 1
-        start = np.repeat(first[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    for k, p in enumerate(region):
+        mine = np.flatnonzero((before | behind) & (piece == k))
+        sizes = hi[mine] - lo[mine] + 1
+        start = np.repeat(lo[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         out.append((np.repeat(doc[mine], sizes), start + p.at, p.key(start, start + LENGTH)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def string_rows(owners: DataFrame) -> DataFrame:
-    """``string, doc_id``: the strings of the blocks in ``mixed``."""
+    """``string, doc_id``: the strings around the sides in ``before`` and ``behind``, which list blocks."""
 
     def run(batches):
         for batch in batches:
-            wanted = _of(*_flat(batch.column(2)))
+            before, behind = (_of(*_flat(batch.column(i))) for i in (2, 3))
             for region in regions(batch.column(1)):
                 rows = _block_rows(region)
-                doc, _, key = _single_strings(region, rows, _among(_of(rows[0], rows[4]), wanted))
+                mine = _of(rows[0], rows[5])
+                doc, _, key = _single_strings(region, rows, _among(mine, before), _among(mine, behind))
                 keep = np.unique(_of(doc, key), return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column(0).take(pa.array(doc[keep]))], ["string", "doc_id"])
 
-    return owners.select("doc_id", "body", "mixed").mapInArrow(run, f"string bigint, doc_id {owners.schema['doc_id'].dataType.simpleString()}")
+    return owners.select("doc_id", "body", "before", "behind").mapInArrow(run, f"string bigint, doc_id {owners.schema['doc_id'].dataType.simpleString()}")
 
 
 def _again(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -223,18 +241,20 @@ def remaining(settled: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            covered, mixed, late = (_of(*_flat(batch.column(i))) for i in (3, 4, 5))
+            covered, before, behind, late = (_of(*_flat(batch.column(i))) for i in (3, 4, 5, 6))
             text = batch.column(2).cast(pa.large_binary())
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2], np.uint8)
             marks = np.zeros(offsets[-1] - offsets[0] + 1, np.int32)
             for region in regions(batch.column(2)):
                 rows = _block_rows(region)
-                doc, first, last, _, block, at = rows
-                gone = _among(_of(doc, block), covered) | _again(doc, block)
+                doc, first, last, _, _, block, piece = rows
+                at = np.array([p.at for p in region])[piece]
+                mine = _of(doc, block)
+                gone = _among(mine, covered) | _again(doc, block)
                 np.add.at(marks, (first + at)[gone] - offsets[0], 1)
                 np.add.at(marks, (last + at)[gone] + LENGTH - offsets[0], -1)
-                of, start, key = _single_strings(region, rows, ~gone & _among(_of(doc, block), mixed))
+                of, start, key = _single_strings(region, rows, ~gone & _among(mine, before), ~gone & _among(mine, behind))
                 out = _among(_of(of, key), late) | _again(of, key)
                 np.add.at(marks, start[out] - offsets[0], 1)
                 np.add.at(marks, start[out] + LENGTH - offsets[0], -1)
@@ -249,7 +269,7 @@ def remaining(settled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "row_key", "spans", "kept"])
 
     kind = settled.schema["doc_id"].dataType.simpleString()
-    return settled.select("doc_id", "row_key", "body", "covered", "mixed", "late").mapInArrow(run, f"doc_id {kind}, row_key bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return settled.select("doc_id", "row_key", "body", "covered", "before", "behind", "late").mapInArrow(run, f"doc_id {kind}, row_key bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def _bucketed(df: DataFrame, name: str) -> DataFrame:
@@ -257,6 +277,7 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").format("parquet").saveAsTable(name)
+    forget_shuffles(spark)
     return spark.table(name)
 
 
@@ -276,14 +297,20 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = _bucketed(rows.join(here, "doc_id"), "suffix_texts")
 
     blocks = written(block_rows(texts), "suffix-blocks")
-    owned = written(blocks.groupBy("digit", "block").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")), "suffix-owned")
-    again = blocks.join(owned.filter("n > 1"), ["digit", "block"]).filter("doc_id != owner").groupBy("doc_id").agg(F.collect_set("block").alias("covered"))
-    several = owned.groupBy("digit").agg(F.count(F.lit(1)).alias("n_blocks")).filter("n_blocks > 1").select("digit")
-    mixed = owned.join(several, "digit", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("block").alias("mixed"))
-    again, mixed = written(again, "suffix-covered"), written(mixed, "suffix-mixed")
+    owned = written(blocks.groupBy("block", "before", "behind").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")), "suffix-owned")
+    again = blocks.select("block", "doc_id").join(owned.filter("n > 1").select("block", "owner"), "block").filter("doc_id != owner")
+    again = written(again.groupBy("doc_id").agg(F.collect_set("block").alias("covered")), "suffix-covered")
+
+    side = F.explode(F.array(F.struct(F.lit(False).alias("is_behind"), F.col("before").alias("key")), F.struct(F.lit(True).alias("is_behind"), F.col("behind").alias("key"))))
+    sides = owned.select("block", F.col("owner").alias("doc_id"), side.alias("s")).select("block", "doc_id", "s.*").filter("key IS NOT NULL")
+    several = sides.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    mixed = sides.join(several, "key", "left_semi").groupBy("doc_id").agg(
+        F.collect_set(F.when(~F.col("is_behind"), F.col("block"))).alias("before"), F.collect_set(F.when(F.col("is_behind"), F.col("block"))).alias("behind")
+    )
+    mixed = written(mixed, "suffix-mixed")
 
     strings = written(string_rows(texts.join(mixed, "doc_id")), "suffix-strings")
-    least = strings.groupBy("string").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    least = strings.groupBy("string").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("string", "owner")
     late = strings.join(least, "string").filter("doc_id != owner").groupBy("doc_id").agg(F.collect_set("string").alias("late"))
     settled = texts.join(again, "doc_id", "left").join(mixed, "doc_id", "left").join(written(late, "suffix-late"), "doc_id", "left")
     return remaining(settled)
