@@ -236,37 +236,50 @@ def _again(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _bounds(region: list[Piece]) -> np.ndarray:
+    """Where the region's texts start and end, from its first byte on."""
+    return region[0].bounds if len(region) == 1 else np.array([0, region[-1].at + len(region[-1].data) - region[0].at])
+
+
+def _bytes(region: list[Piece]) -> np.ndarray:
+    """The region's bytes; pieces of a long text share their ends."""
+    step = PIECE - LENGTH + 1
+    return np.concatenate([p.data[:step] for p in region[:-1]] + [region[-1].data])
+
+
 def remaining(settled: DataFrame) -> DataFrame:
     """``doc_id, row_key, spans, kept``: what is removed from each text, as byte offsets, and the bytes that are left."""
 
     def run(batches):
         for batch in batches:
             covered, before, behind, late = (_of(*_flat(batch.column(i))) for i in (3, 4, 5, 6))
-            text = batch.column(2).cast(pa.large_binary())
-            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], np.uint8)
-            marks = np.zeros(offsets[-1] - offsets[0] + 1, np.int32)
             for region in regions(batch.column(2)):
                 rows = _block_rows(region)
                 doc, first, last, _, _, block, piece = rows
-                at = np.array([p.at for p in region])[piece]
+                start_of, bounds = region[0].at, _bounds(region)
+                at = np.array([p.at - start_of for p in region])[piece]
+                marks = np.zeros(bounds[-1] + 1, np.int32)
                 mine = _of(doc, block)
                 gone = _among(mine, covered) | _again(doc, block)
-                np.add.at(marks, (first + at)[gone] - offsets[0], 1)
-                np.add.at(marks, (last + at)[gone] + LENGTH - offsets[0], -1)
+                np.add.at(marks, (first + at)[gone], 1)
+                np.add.at(marks, (last + at)[gone] + LENGTH, -1)
                 of, start, key = _single_strings(region, rows, ~gone & _among(mine, before), ~gone & _among(mine, behind))
                 out = _among(_of(of, key), late) | _again(of, key)
-                np.add.at(marks, start[out] - offsets[0], 1)
-                np.add.at(marks, start[out] + LENGTH - offsets[0], -1)
-            removed = np.cumsum(marks)[:-1] > 0
-            spans, kept = [], []
-            for i in range(len(batch)):
-                r = removed[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]]
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], r, [False]]).astype(np.int8)))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)])
-                kept.append(data[offsets[i] : offsets[i + 1]][~r].tobytes())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "row_key", "spans", "kept"])
+                np.add.at(marks, start[out] - start_of, 1)
+                np.add.at(marks, start[out] - start_of + LENGTH, -1)
+                removed = np.cumsum(marks, dtype=np.int32)[:-1] > 0
+                data = _bytes(region)
+                spans, kept = [], []
+                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                    r = removed[lo:hi]
+                    turns = np.flatnonzero(np.diff(np.concatenate([[False], r, [False]]).astype(np.int8)))
+                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
+                    kept.append(data[lo:hi][~r].tobytes())
+                own = slice(region[0].docs[0], region[0].docs[-1] + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[own], batch.column(1)[own], pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["doc_id", "row_key", "spans", "kept"])
 
     kind = settled.schema["doc_id"].dataType.simpleString()
     return settled.select("doc_id", "row_key", "body", "covered", "before", "behind", "late").mapInArrow(run, f"doc_id {kind}, row_key bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
