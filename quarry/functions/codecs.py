@@ -231,13 +231,13 @@ def _power(e: int) -> Column:
 
 
 def alp_encode(chunks: DataFrame, exponent: int, factor: int) -> DataFrame:
-    """Integers that two multiplications turn back into the doubles; doubles that do not come back are patches."""
-    ints = lambda v: F.round(v * _power(exponent) * _power(-factor)).try_cast("bigint")
+    """Integers that two multiplications turn back into the doubles; doubles that do not come back, and nulls, are patches."""
+    ints = lambda v: F.coalesce(F.round(v * _power(exponent) * _power(-factor)).try_cast("bigint"), F.lit(0).cast("bigint"))
     back = lambda k: k.cast("double") * _power(factor) * _power(-exponent)
     tried = chunks.withColumn("ints", F.transform("vals", ints))
     missed = tried.withColumn("indices", F.filter(positions("n"), lambda i: ~back(F.get("ints", i)).eqNullSafe(F.get("vals", i))))
     return missed.select(
-        "chunk", "n", F.lit(exponent).alias("e"), F.lit(factor).alias("f"), F.transform("ints", lambda k: F.coalesce(k, F.lit(0).cast("bigint"))).alias("ints"),
+        "chunk", "n", F.lit(exponent).alias("e"), F.lit(factor).alias("f"), "ints",
         "indices", F.transform("indices", lambda i: F.get("vals", i)).alias("patches"),
     )
 
