@@ -9,10 +9,13 @@ looked at:
 * Prefix: posting lists are ordered by length.  Two nodes with enough matches share one of
   each other's few shortest lists, so a node is only listed there; a node with too few
   lists in company is dropped.  The long lists of frequent values are skipped over.
+* Bounds: the shingles that no other listed node has are counted for each.  They bound the
+  intersection of any pair, and rule out most of the many pairs of texts that come from one
+  source but have each been changed too much.
 * Merging: a list is not expanded into all its pairs.  Its members are first compared with
-  the list's least node.  Pairs that the components of these links do not connect yet are
-  then compared with each other, and only these; in a group of near copies that is next to
-  none, however large the group.
+  the member that has the fewest shingles of its own.  Pairs that the components of these
+  links do not connect yet are then compared with each other, and only these; in a group of
+  near copies that is next to none, however large the group.
 
 A pair with enough matches is confirmed on the two full shingle sets.
 """
@@ -24,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import portions
@@ -82,9 +85,8 @@ def sign(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in portions(texts):
-                sets = [shingles(t, n_words) for t in texts[part]]
+            for part, texts in portions(batch.column(1)):
+                sets = [shingles(t, n_words) for t in texts]
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
                 minima = np.concatenate([signature(s, factors, shifts) for s in sets]).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -105,9 +107,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n_words: int, id_col: str, text
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in portions(texts):
-                sets = [shingles(t, n_words) for t in texts[part]]
+            for part, texts in portions(batch.column(1)):
+                sets = [shingles(t, n_words) for t in texts]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part.start : part.stop], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "members"]
@@ -128,11 +129,31 @@ def prefix_lists(nodes: DataFrame, least: int) -> DataFrame:
     return mine.filter(F.size("lists") >= least).select("node", F.explode(F.slice("lists", 1, F.size("lists") - least + 1)).alias("p")).select("p.posting", "node")
 
 
-def _matching(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with sizes that allow a link, and enough equal coordinates."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sig_b"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``node, n, own``: the size of each set, and how many of its shingles no other set has."""
+    counted = sets.select("node", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    own = counted.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("node", F.size("members").alias("n")).join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _possible(percent: int, n_y: str = "n_y", own_y: str = "own_y") -> Column:
+    """Whether the sets of a pair, given by sizes and shingles of their own, may be similar enough."""
+    common = F.least(F.col("n") - F.col("own"), F.col(n_y) - F.col(own_y))
+    return common * 100 >= (F.col("n") + F.col(n_y) - common) * percent
+
+
+def _open_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """The rows of lists that may have a partner in another component of the same list."""
+    least = lists.groupBy("posting").agg(F.min("n").alias("least_n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("posting", "least_n")
+    shared = F.col("n") - F.col("own")
+    partner = F.greatest("least_n", shared)
+    return lists.join(least, "posting").filter(shared * 100 >= (F.col("n") + partner - shared) * percent).drop("least_n")
+
+
+def _matching(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs ``a, b`` with enough equal coordinates."""
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
+    both = both.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
     return both.filter(same >= least).select("a", "b").distinct()
 
@@ -173,19 +194,24 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     classes = written(able.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node")), "minhash-classes")
     first = able.alias("s").join(classes.alias("c"), F.expr("s.set_hi = c.set_hi AND s.set_lo = c.set_lo AND s.doc_id = c.node"), "left_semi")
     nodes = written(first.select(F.col("doc_id").alias("node"), "n_shingles", "signature").distinct(), "minhash-nodes")
-    lists = written(prefix_lists(nodes, least), "minhash-lists")
-
-    leaders = lists.groupBy("posting").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("length")).filter("length > 1")
-    to_leader = lists.join(leaders, "posting").filter("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = _confirmed(to_leader, docs, nodes, least, percent, n_words, id_col, text_col)
+    listed = prefix_lists(nodes, least)
+    shared = listed.groupBy("posting").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("posting")
+    listed = written(listed.join(shared, "posting", "left_semi"), "minhash-listed")
+    sets = written(full_sets(docs, written(listed.select("node").distinct(), "minhash-wanted"), n_words, id_col, text_col), "minhash-sets")
+    sizes = written(own_shingles(sets), "minhash-sizes")
+    lists = written(listed.join(sizes.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "node"), "minhash-lists")
+
+    leaders = lists.groupBy("posting").agg(F.min(F.struct("own", "node", "n")).alias("l")).select("posting", F.col("l.node").alias("node_y"), F.col("l.n").alias("n_y"), F.col("l.own").alias("own_y"))
+    pair = [F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")]
+    to_leader = lists.join(leaders, "posting").filter("node != node_y").filter(_possible(percent)).select(*pair).distinct()
+    links = written(_linked(written(_matching(to_leader, nodes, least), "minhash-pairs"), sets, percent), "minhash-links")
     joined = components(links, "minhash-stars")
 
-    placed = lists.join(joined, "node", "left").select("posting", "node", F.coalesce("component", "node").alias("component"))
-    torn = placed.groupBy("posting").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("posting")
-    placed = written(placed.join(torn, "posting", "left_semi"), "minhash-torn")
-    other = placed.select("posting", F.col("node").alias("node_y"), F.col("component").alias("component_y"))
-    across = placed.join(other, "posting").filter("component < component_y").select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b"))
-    late = _confirmed(across.distinct(), docs, nodes, least, percent, n_words, id_col, text_col)
+    placed = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(_open_lists(written(_open_lists(placed, percent), "minhash-torn"), percent), "minhash-torn")
+    other = placed.select("posting", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "own", "component")])
+    across = placed.join(other, "posting").filter(F.col("component") < F.col("component_y")).filter(_possible(percent)).select(*pair).distinct()
+    late = written(_linked(written(_matching(across, nodes, least), "minhash-pairs"), sets, percent), "minhash-links")
     whole = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late), "minhash-components")
 
     of_class = classes.join(whole, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
@@ -196,13 +222,6 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     return of_row.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _confirmed(pairs, docs, nodes, least, percent, n_words, id_col, text_col) -> DataFrame:
-    pairs = written(_matching(pairs, nodes, least, percent), "minhash-pairs")
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "minhash-wanted")
-    sets = written(full_sets(docs, wanted, n_words, id_col, text_col), "minhash-sets")
-    return written(_linked(pairs, sets, percent), "minhash-links")
-
-
 def drop_near_copies(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest id."""
     gone = near_duplicates(docs, n_words, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
