@@ -154,8 +154,11 @@ def _matching(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """The pairs ``a, b`` with enough equal coordinates."""
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
     both = both.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return both.filter(same >= least).select("a", "b").distinct()
+    return both.filter(_equal("sig_a", "sig_b") >= least).select("a", "b").distinct()
+
+
+def _equal(x: str, y: str) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,9 +212,18 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
 
     placed = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(_open_lists(written(_open_lists(placed, percent), "minhash-torn"), percent), "minhash-torn")
-    other = placed.select("posting", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "own", "component")])
-    across = placed.join(other, "posting").filter(F.col("component") < F.col("component_y")).filter(_possible(percent)).select(*pair).distinct()
-    late = written(_linked(written(_matching(across, nodes, least), "minhash-pairs"), sets, percent), "minhash-links")
+    # a pair is formed on the first list that both are in, and only with enough equal coordinates
+    mine = placed.groupBy("node").agg(F.collect_set("posting").alias("mine"))
+    placed = placed.join(mine, "node").join(nodes.select("node", "signature"), "node")
+    other = placed.select("posting", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "own", "component", "mine", "signature")])
+    across = (
+        placed.join(other, "posting")
+        .filter((F.col("component") < F.col("component_y")) & _possible(percent))
+        .filter(F.col("posting") == F.array_min(F.array_intersect("mine", "mine_y")))
+        .filter(_equal("signature", "signature_y") >= least)
+        .select(*pair)
+    )
+    late = written(_linked(written(across, "minhash-pairs"), sets, percent), "minhash-links")
     whole = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late), "minhash-components")
 
     of_class = classes.join(whole, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
