@@ -52,8 +52,9 @@ def null_decode(chunks: DataFrame, kind: str) -> DataFrame:
 
 
 def constant_encode(chunks: DataFrame) -> DataFrame:
-    """Only chunks of one value have this form."""
-    return chunks.select("chunk", "n", F.get("vals", F.lit(0)).alias("value"))
+    """Only chunks of one value have this form; others fail."""
+    first = F.get("vals", F.lit(0))
+    return chunks.select("chunk", "n", require(F.forall("vals", lambda v: v.eqNullSafe(first)), first, "a chunk of several values is not constant").alias("value"))
 
 
 def constant_decode(coded: DataFrame) -> DataFrame:

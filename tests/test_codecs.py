@@ -130,3 +130,18 @@ def test_slices_and_null_codes(spark):
     values = spark.createDataFrame([(1, "x")], "code bigint, value string")
     codes = spark.createDataFrame([(0, 1), (1, None)], "row_offset bigint, code bigint")
     assert sorted(map(tuple, C.layout_dict_decode(codes, values, "v").collect())) == [(0, "x"), (1, None)]
+
+
+def test_constant_chunks_only(spark):
+    from quarry.functions.codecs import constant_decode, constant_encode
+
+    chunks = lambda vals: spark.createDataFrame([(0, len(vals), vals)], "chunk bigint, n int, vals array<bigint>")
+    assert constant_decode(constant_encode(chunks([7, 7]))).first().vals == [7, 7]
+    assert constant_decode(constant_encode(chunks([None, None]))).first().vals == [None, None]
+    for vals in ([7, 8], [7, None]):
+        try:
+            constant_encode(chunks(vals)).collect()
+        except Exception as e:
+            assert "not constant" in str(e)
+        else:
+            raise AssertionError(vals)
