@@ -13,11 +13,17 @@ looked at:
   intersection of any pair, and rule out most of the many pairs of texts that come from one
   source but have each been changed too much.
 * Merging: a list is not expanded into all its pairs.  Its members are first compared with
-  the member that has the fewest shingles of its own.  Pairs that the components of these
-  links do not connect yet are then compared with each other, and only these; in a group of
-  near copies that is next to none, however large the group.
-
-A pair with enough matches is confirmed on the two full shingle sets.
+  the list's leader, the member with the fewest shingles of its own.  Of lists that this does
+  not connect, each member is then described by its difference from the leader, the shingles
+  that one of the two has and the other lacks.  For sets A and B with differences P and Q,
+  |A ^ B| = |P| + |Q| - 2 |P & Q|, so two members that are not both linked with the leader can
+  only be linked if they have some of their differences in common, and how many is known
+  beforehand.  Differences are few and, other than the shingles of a common source, they
+  are rare; so they are posted in turn, rarest first, and pairs that meet there are bounded
+  by the number of differences that a sketch of 256 bits lets them share.  Here too members are
+  first compared with one of each list, and only what is not connected then with each other.
+
+A pair that is left is confirmed on the two full shingle sets.
 """
 
 from __future__ import annotations
@@ -154,11 +160,56 @@ def _matching(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """The pairs ``a, b`` with enough equal coordinates."""
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
     both = both.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-    return both.filter(_equal("sig_a", "sig_b") >= least).select("a", "b").distinct()
+    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    return both.filter(equal >= least).select("a", "b").distinct()
+
+
+def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``leader, node, n, d, difference``: the size of each node's set, and what it and its leader's set do not have in common."""
+
+    def run(batches):
+        for batch in batches:
+            (vx, ox), (vy, oy) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            apart = [np.setxor1d(vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]], assume_unique=True) for i in range(len(batch))]
+            d = np.array([len(x) for x in apart], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(np.diff(ox).astype(np.int64)), pa.array(d),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *d]).astype(np.int32)), pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64))),
+                ],
+                ["leader", "node", "n", "d", "difference"],
+            )
+
+    kind = sets.schema["node"].dataType.simpleString()
+    both = groups.join(sets.select("node", F.col("members").alias("of_node")), "node").join(sets.select(F.col("node").alias("leader"), F.col("members").alias("of_leader")), "leader")
+    return both.select("leader", "node", "of_node", "of_leader").mapInArrow(run, f"leader {kind}, node {kind}, n bigint, d bigint, difference array<bigint>")
+
 
+SKETCH = ("b0", "b1", "b2", "b3")
 
-def _equal(x: str, y: str) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+
+def difference_lists(apart: DataFrame, percent: int) -> DataFrame:
+    """``leader, posting, node, n, d, s, b0 .. b3``: nodes under the rarest of their differences from a leader.
+
+    s counts those that another node of that leader has too, and the sketch has a bit for
+    each of them.  A node needs at least `least` of them in common with whatever it is
+    linked to (with n_y <= n * 100 / percent, and no more in common than d_y), so it is only
+    posted under as many of the rarest as the rest would not be enough without.
+    """
+    posted = apart.select("leader", "node", "n", "d", F.explode("difference").alias("posting"))
+    shared = posted.groupBy("leader", "posting").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+    at = F.col("posting").bitwiseAND(F.lit(255))
+    bit = [F.bit_or(F.when(F.shiftright(at, 6) == k, F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(b) for k, b in enumerate(SKETCH)]
+    mine = posted.join(shared, ["leader", "posting"]).groupBy("leader", "node", "n", "d").agg(F.count(F.lit(1)).alias("s"), F.sort_array(F.collect_list(F.struct("length", "posting"))).alias("lists"), *bit)
+    mine = mine.withColumn("least", F.greatest(F.lit(1), F.ceil((F.col("d") * percent - F.col("n") * (100 - percent)) / percent))).filter("s >= least")
+    return mine.select("leader", F.explode(F.slice("lists", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))).alias("p"), "node", "n", "d", "s", *SKETCH).select("leader", "p.posting", "node", "n", "d", "s", *SKETCH)
+
+
+def _reconcilable(percent: int) -> Column:
+    """Whether a pair, in columns with and without _y, may have so many differences in common that it is linked."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(b + x).bitwiseAND(F.bitwise_not(F.col(b + y)))) for b in SKETCH), F.lit(0))
+    common = F.least(F.col("s") - lacks("", "_y"), F.col("s_y") - lacks("_y", ""))
+    return (F.col("d") + F.col("d_y") - common * 2) * (100 + percent) <= (F.col("n") + F.col("n_y")) * (100 - percent)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,6 +231,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _edges(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: ``doc_id, n_shingles, component_id, kept``.
 
@@ -212,19 +267,27 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
 
     placed = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(_open_lists(written(_open_lists(placed, percent), "minhash-torn"), percent), "minhash-torn")
-    # a pair is formed on the first list that both are in, and only with enough equal coordinates
-    mine = placed.groupBy("node").agg(F.collect_set("posting").alias("mine"))
-    placed = placed.join(mine, "node").join(nodes.select("node", "signature"), "node")
-    other = placed.select("posting", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "own", "component", "mine", "signature")])
-    across = (
-        placed.join(other, "posting")
-        .filter((F.col("component") < F.col("component_y")) & _possible(percent))
-        .filter(F.col("posting") == F.array_min(F.array_intersect("mine", "mine_y")))
-        .filter(_equal("signature", "signature_y") >= least)
-        .select(*pair)
-    )
+    groups = placed.select("posting", "node").join(leaders.select("posting", F.col("node_y").alias("leader")), "posting").filter("node != leader").select("leader", "node").distinct()
+    apart = written(differences(written(groups, "minhash-groups"), sets), "minhash-apart")
+    listed = written(difference_lists(apart, percent), "minhash-differences")
+
+    def placed_in(known: DataFrame) -> DataFrame:
+        return listed.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    fields = ("node", "n", "d", "s", *SKETCH, "component")
+    of_y = [F.col(c).alias(f"{c}_y") for c in fields]
+    now = placed_in(joined)
+    least_apart = now.groupBy("leader", "posting").agg(F.min(F.struct("d", *[c for c in fields if c != "d"])).alias("l")).select("leader", "posting", "l.*").select("leader", "posting", *of_y)
+    to_least = now.join(least_apart, ["leader", "posting"]).filter((F.col("component") != F.col("component_y")) & _reconcilable(percent)).select(*pair).distinct()
+    links = written(_linked(written(to_least, "minhash-pairs"), sets, percent), "minhash-links")
+    joined = components(_edges(joined).union(links), "minhash-stars")
+
+    now = written(placed_in(joined), "minhash-placed")
+    torn = now.groupBy("leader", "posting").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("leader", "posting")
+    now = now.join(torn, ["leader", "posting"], "left_semi")
+    across = now.join(now.select("leader", "posting", *of_y), ["leader", "posting"]).filter((F.col("component") < F.col("component_y")) & _reconcilable(percent)).select(*pair).distinct()
     late = written(_linked(written(across, "minhash-pairs"), sets, percent), "minhash-links")
-    whole = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late), "minhash-components")
+    whole = components(_edges(joined).union(late), "minhash-components")
 
     of_class = classes.join(whole, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
     of_row = signed.withColumn("has_words", F.col("n_shingles") > 0).join(
