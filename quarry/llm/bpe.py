@@ -4,14 +4,16 @@ A byte pair encoding has one last token for every prefix of a word: the longest
 token ending there that fits behind the last token of what precedes it.  So the distinct
 words of a batch are walked as a trie, depth first (in sorted order the path in common with
 the word before is the trie's stack), last tokens are carried down the branches, and the
-state of a prefix that words share is computed once.  Words seen before come from a bounded
-store in the Python worker.  Spark splits the documents; nothing but the vocabulary (of
+state of a prefix that words share is computed once.  The known tokens that end at each byte
+of a word are told by one step of an Aho-Corasick automaton.  Words seen before come from a
+bounded store in the Python worker.  Spark splits the documents; nothing but the vocabulary (of
 fixed size) is shared, so a lost executor costs its own tasks only.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import table, whole_text
 
-#: Words that a worker keeps encoded (and half as many as it keeps pairs of tokens), and bytes of text that it works on at a time.
-KEPT_WORDS, BATCH_BYTES = 150_000, 4_000_000
+#: Words that a worker keeps encoded, in each of two generations (and half as many as it keeps pairs of tokens), and bytes of text that it works on at a time.
+KEPT_WORDS, BATCH_BYTES = 120_000, 2_000_000
 #: The split into words that the vocabulary was built for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of single bytes, which re splits in half the time.
@@ -51,6 +53,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import re
 
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -65,31 +68,34 @@ class Vocabulary:
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
         self.rank: dict[int, int] = {}
-        made_of: dict[int, tuple[int, int, int]] = {}
+        self.made_of: dict[int, tuple[int, int, int]] = {}
         for n, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[ids[a] << 20 | ids[b]] = n
-            made_of.setdefault(ids[a + b], (ids[a], ids[b], n))
-        # the pieces at a token's right and left edge while it is merged, each with the rank of the merge that takes it up
-        self.right, self.left = ({i: self._edge(i, made_of, side) for i in raw} for side in (1, 0))
-        self.id_of = {b: i for i, b in raw.items() if len(b) == 1 or i in made_of}
-        self.longest = max(map(len, self.id_of))
+            self.made_of.setdefault(ids[a + b], (ids[a], ids[b], n))
+        # a letter for each byte, as the automaton takes texts
+        self.ends = ahocorasick.Automaton()
+        for i, b in raw.items():
+            if len(b) == 1 or i in self.made_of:
+                self.ends.add_word(b.decode("latin-1"), (len(b), i))
+        self.ends.make_automaton()
         self.splits = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.ASCII)
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def _edge(i: int, made_of: dict, side: int) -> list[tuple[int, int]]:
+    def _edge(self, i: int, side: int) -> list[tuple[int, int]]:
+        """The pieces at a token's right (1) or left edge while it is merged, each with the rank of the merge that takes it up."""
         edge = [(i, NEVER)]
-        while i in made_of:
-            edge.append((made_of[i][side], made_of[i][2]))
-            i = made_of[i][side]
+        while i in self.made_of:
+            edge.append((self.made_of[i][side], self.made_of[i][2]))
+            i = self.made_of[i][side]
         return edge[::-1]
 
     def _fit(self, a: int, b: int) -> bool:
         """Do a and b, each merged by itself, stay two tokens when they meet?"""
-        x, y, i, j = self.right[a], self.left[b], 0, 0
+        x, y, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
         while True:
             (p, until_p), (q, until_q) = x[i], y[j]
             across = self.rank.get(p << 20 | q, NEVER)
@@ -106,7 +112,7 @@ class Vocabulary:
         """Each of the sorted words with its tokens."""
         last: list[int] = [-1]  # last[d]: the last token of the current path's first d bytes
         before = b""
-        id_of, fits, bytes_of, longest = self.id_of, self.fits, self.bytes_of, self.longest
+        fits, bytes_of, tokens_of = self.fits, self.bytes_of, self.ends.iter
         for word in words:
             n, shared = len(word), 0
             for x, y in zip(word, before):  # noqa: B905
@@ -114,39 +120,44 @@ class Vocabulary:
                     break
                 shared += 1
             del last[shared + 1 :]
-            for d in range(shared + 1, n + 1):
-                for start in range(max(0, d - longest), d):
-                    token = id_of.get(word[start:d])
-                    if token is None:
-                        continue
-                    if not start:
-                        last.append(token)
-                        break
-                    pair = last[start] << 20 | token
+            settled = shared
+            for end, (length, token) in tokens_of(word.decode("latin-1")):  # of those that end at one byte the longest comes first
+                if end < settled:
+                    continue
+                if length <= end:
+                    pair = last[end + 1 - length] << 20 | token
                     fit = fits.get(pair)
                     if fit is None:
-                        fit = fits[pair] = self._fit(last[start], token)
-                    if fit:
-                        last.append(token)
-                        break
-                else:
-                    raise ValueError(f"no token of the vocabulary ends {word[:d]!r}")
+                        fit = fits[pair] = self._fit(pair >> 20, token)
+                    if not fit:
+                        continue
+                last.append(token)
+                settled = end + 1
+            if settled < n:
+                raise ValueError(f"no token of the vocabulary ends {word[: settled + 1]!r}")
             out, d = [], n
             while d:
                 out.append(last[d])
                 d -= len(bytes_of[last[d]])
-            yield word, out[::-1]
+            out.reverse()
+            yield word, out
             before = word
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the words that are not known yet."""
+        """Encode the words that are not known yet; when there are many, those not met lately are let go."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         if len(self.fits) > 2 * KEPT_WORDS:
             self.fits.clear()
-        new = {w.encode(): w for w in words if w not in self.known}
+        known, older, new = self.known, self.older, {}
+        for w in words:
+            if w not in known:
+                if (tokens := older.get(w)) is None:
+                    new[w.encode()] = w
+                else:
+                    known[w] = tokens
         for word, tokens in self._walk(sorted(new)):
-            self.known[new[word]] = np.array(tokens, np.int32).tobytes()
+            known[new[word]] = array("i", tokens).tobytes()
 
     def split(self, text: str) -> list[str]:
         """The words of text; special tokens stand as words of their own."""
@@ -191,6 +202,14 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def _coded(vocab: Vocabulary, column: pa.Array) -> Iterator[tuple[slice, pa.ListArray, np.ndarray, np.ndarray]]:
+    """A portion of the texts at a time: its place, the token lists, the tokens in one row and the ends of the lists."""
+    for part, texts in portions(column):
+        coded = vocab.encode_batch(texts)
+        ends, flat = np.cumsum([0, *(len(c) // 4 for c in coded)]), np.frombuffer(b"".join(coded), np.int32)
+        yield part, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), flat, ends
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``id_col, ids``: the tokens of each whole text, special tokens in a text included.
 
@@ -203,10 +222,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            for part, texts in portions(batch.column(1)):
-                coded = vocab.encode_batch(texts)
-                offsets = np.cumsum([0, *(len(c) // 4 for c in coded)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            for part, ids, _, _ in _coded(vocab, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], ids], ["id", "ids"])
 
     return rows.mapInArrow(run, f"id {_type(docs, id_col)}, ids array<int>").withColumnRenamed("id", id_col)
@@ -231,11 +247,18 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``id_col, ids, text``: tokens with what they decode to, in one pass over the documents."""
+    """``id_col, ids, text``: tokens with what these decode to, by one Python worker a task; rows as in `encode`."""
     path = path or default_vocabulary()
-    coded = encode(docs, id_col, text_col, path)
-    both = coded.select(F.struct(F.col(id_col).alias("id"), "ids").alias("row"), "ids")
-    return decode(both, "row", "ids", path).select(F.col("row.id").alias(id_col), F.col("row.ids").alias("ids"), "text")
+    rows = docs.select(F.col(id_col), whole_text(text_col).alias("body"))
+
+    def run(batches):
+        vocab = vocabulary(path)
+        for batch in batches:
+            for part, ids, flat, ends in _coded(vocab, batch.column(1)):
+                texts = [vocab.decode(flat[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], ids, pa.array(texts, pa.string())], ["id", "ids", "text"])
+
+    return rows.mapInArrow(run, f"id {_type(docs, id_col)}, ids array<int>, text string").withColumnRenamed("id", id_col)
 
 
 def op8_bpe_encoding(spark, sf_dir):
