@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.errors import InvalidData
+
+FOLDER = "spark.checkpoint.dir"
+#: Lets Spark delete the shuffle files of a query as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir.
+
+    Where none is set, a session on one machine gets a temporary one; on a cluster that is
+    an error, as executors would each write to a disk of their own.
+    """
+    found = spark.conf.get(FOLDER, None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise InvalidData(f"{FOLDER} must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set(FOLDER, found)
     return found
 
 
@@ -21,17 +35,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     Unlike cached blocks, the files outlive a lost executor, and their sizes tell Spark
-    whether a later join may broadcast them.  The shuffles behind df are done with; Spark
-    deletes their files once the driver has collected what refers to them, so the disks
-    need to hold those of one step at a time.
+    whether a later join may broadcast them.  The shuffles behind df are done with, and
+    their files go, so the disks need to hold those of one step at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    forget_shuffles(spark)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[str]:
+    """Tables written within go to a folder of their own, which is deleted at the end; results must be stored by then."""
+    before = spark.conf.get(FOLDER, None)
+    area = f"{shared_dir(spark)}/area-{uuid.uuid4().hex}"
+    spark.conf.set(FOLDER, area)
+    try:
+        yield area
+    finally:
+        spark.conf.unset(FOLDER) if before is None else spark.conf.set(FOLDER, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(area)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner find finished shuffles now, rather than at its next half-hourly collection."""
-    spark.sparkContext._jvm.System.gc()
+    """Kept for callers of before; `written` lets Spark delete what it is done with."""
