@@ -40,10 +40,22 @@ def date32(days: Column) -> Column:
     return F.date_from_unix_date(days.cast("int"))
 
 
-def date64(millis: Column) -> Column:
-    """Whole days only; null for others."""
+def date64(millis: Column, other: str = "error") -> Column:
+    """Days counted in milliseconds.  A count that is no whole day is an error; with other="timestamp" all become local timestamps, which hold it."""
+    if other == "timestamp":
+        return timestamp(millis, "ms")
     day = F.lit(86_400_000)
-    return F.when(F.pmod(millis, day) == 0, F.date_from_unix_date(F.floor(millis / day).cast("int")))
+    whole = F.date_from_unix_date(F.floor(millis / day).cast("int"))
+    return F.when(F.pmod(millis, day) == 0, whole).when(millis.isNotNull(), F.raise_error(F.concat(F.lit("no whole day: "), millis.cast("string"))).cast("date"))
+
+
+def time_of_day(ticks: Column, unit: str) -> Column:
+    """Ticks since midnight as a day-time interval, to the microsecond; nanoseconds that are none stay numbers as a whole column."""
+    if unit not in UNITS:
+        raise Unsupported(f"time unit {unit!r}")
+    if unit == "ns":
+        return ticks.cast("bigint")
+    return F.make_dt_interval(secs=ticks.cast("decimal(38,6)") / F.lit(UNITS[unit]))
 
 
 def decimal_from_unscaled(unscaled: Column, precision: int, scale: int) -> Column:

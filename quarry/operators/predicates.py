@@ -25,6 +25,8 @@ class Predicate:
     def __post_init__(self):
         if self.op not in OPS:
             raise InvalidData(f"unknown comparison {self.op!r}")
+        if type(self.value) is not int or not -(1 << 63) <= self.value < 1 << 63:
+            raise InvalidData(f"columns are compared with 64-bit integers, not with {self.value!r}")
 
 
 def prunable(predicates: Iterable[Predicate], schema: StructType) -> list[Predicate]:
@@ -46,6 +48,17 @@ def exact_all(predicates: Iterable[Predicate]) -> Column:
     return reduce(lambda a, b: a & b, map(exact, predicates), F.lit(True))
 
 
+def usable(stats: Column, rows: Column) -> Column:
+    """Whether bounds can be relied on: there, whole, and not at odds with themselves or the zone's size; never null."""
+    lo, hi, nulls = stats["lo"], stats["hi"], stats["null_count"]
+    whole = ~F.coalesce(stats["lo_truncated"], F.lit(True)) & ~F.coalesce(stats["hi_truncated"], F.lit(True))
+    return F.coalesce(stats.isNotNull() & whole & (lo <= hi) & F.coalesce((nulls >= 0) & (nulls <= rows), F.lit(True)), F.lit(False))
+
+
+def all_null(stats: Column, rows: Column) -> Column:
+    return F.coalesce(stats["null_count"] == rows, F.lit(False))
+
+
 def excludes(p: Predicate, stats: Column, rows: Column) -> Column:
     """True where a zone's statistics prove that none of its rows match; never null.
 
@@ -59,11 +72,8 @@ def excludes(p: Predicate, stats: Column, rows: Column) -> Column:
         "EQ": (v < lo) | (v > hi), "NEQ": known_full & (lo == hi) & (lo == v), "GT": hi <= v, "GTE": hi < v, "LT": lo >= v, "LTE": lo > v,
     }[p.op]
     return (
-        F.when(stats.isNull(), False)
-        .when(nulls > rows, False)
-        .when((nulls == rows) & F.lit(p.op != "NEQ"), True)
-        .when(lo.isNull() | hi.isNull(), False)
-        .when(F.coalesce(stats["lo_truncated"], F.lit(True)) | F.coalesce(stats["hi_truncated"], F.lit(True)), False)
-        .when(lo > hi, False)
+        F.when(stats.isNull() | F.coalesce((nulls > rows) | (nulls < 0), F.lit(False)), False)
+        .when(all_null(stats, rows) & F.lit(p.op != "NEQ"), True)
+        .when(~usable(stats, rows), False)
         .otherwise(F.coalesce(proof, F.lit(False)))
     )

@@ -45,18 +45,21 @@ def open_table(spark: SparkSession, path: str) -> Table:
     return table
 
 
-def with_row_offset(df: DataFrame) -> DataFrame:
-    """df, read from files, with each row's physical position as ``row_offset``.
+def with_row_offset(df: DataFrame, name: str = ROW_OFFSET) -> DataFrame:
+    """df, read from files, with each row's physical position as a column of that name.
 
     Within a file it is Parquet's row index.  Files follow each other by name: their row
     counts, a row per file and taken from metadata, are summed up and joined; a table of
     one file needs no join.  The position does not depend on what is filtered later.
     """
+    if name in df.columns:
+        raise InvalidData(f"the table has a column {name!r} of its own; give positions another name")
     if len(df.inputFiles()) <= 1:
-        return df.withColumn(ROW_OFFSET, F.col("_metadata.row_index"))
+        return df.withColumn(name, F.col("_metadata.row_index"))
     sizes = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("file").alias("__file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     placed = df.withColumns({"__path": F.col("_metadata.file_path"), "__index": F.col("_metadata.row_index")})
-    placed = placed.join(starts, F.col("__path") == F.col("__file"))
-    return placed.withColumn(ROW_OFFSET, F.col("__start") + F.col("__index")).drop("__path", "__index", "__file", "__start")
+    # a row per file of the table, which the driver lists in any case
+    placed = placed.join(F.broadcast(starts), F.col("__path") == F.col("__file"))
+    return placed.withColumn(name, F.col("__start") + F.col("__index")).drop("__path", "__index", "__file", "__start")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quarry.errors import InvalidData
 from quarry.operators.predicates import OPS, Predicate, exact, excludes
 from quarry.operators.scan import concat_chunks, delete_positions, number_batches, project, record_batches, scan
-from quarry.plans.zones import surviving_ranges, zone_map
+from quarry.plans.zones import store_map, surviving_ranges, zone_map
 from quarry.sources.tables import open_table
 
 MATCHES = {"EQ": lambda x, v: x is not None and x == v, "NEQ": lambda x, v: x is None or x != v, "GT": lambda x, v: x is not None and x > v,
@@ -128,3 +128,115 @@ def test_deletes_and_chunks(spark):
     assert sorted(map(tuple, both.collect()))[-2:] == [(10, 5), (11, 6)]
     with pytest.raises(InvalidData):
         concat_chunks([])
+
+
+# bad statistics and names, through the scan
+
+BAD = {
+    "hi cut off": {"hi_truncated": "true"}, "lo cut off": {"lo_truncated": "true"}, "no hi": {"hi": "CAST(NULL AS BIGINT)"}, "no lo": {"lo": "CAST(NULL AS BIGINT)"},
+    "more nulls than rows": {"null_count": "11L"}, "turned round": {"lo": "1000000L"}, "negative nulls": {"null_count": "-1L"}, "no flag": {"hi_truncated": "CAST(NULL AS BOOLEAN)"},
+}
+
+
+@pytest.mark.parametrize("bad", BAD)
+def test_bad_statistics_lose_no_row(spark, bad):
+    """Rows 0 to 99 in zones of ten, the last of which has bad statistics."""
+    rows = rows_of(spark, range(100))
+    stats = F.col("stats_v")
+    for name, value in BAD[bad].items():
+        stats = stats.withField(name, F.expr(value))
+    zones = zone_map(rows, ["v"], 10).withColumn("stats_v", F.when(F.col("zone") == 9, stats).otherwise(F.col("stats_v"))).cache()
+    for op in OPS:
+        wanted = {v for v in range(100) if MATCHES[op](v, 85)}
+        for exactly in (True, False):
+            got = {r.v for r in scan(spark, rows, ["v"], [Predicate("v", op, 85)], zones=zones, zone_len=10, exact=exactly).collect()}
+            assert got == wanted if exactly else got >= wanted | set(range(90, 100)), (bad, op)
+
+
+def test_a_map_of_less_than_the_table_keeps_the_rest(spark):
+    rows = rows_of(spark, range(100))
+    zones = zone_map(rows.filter("v < 50"), ["v"], 10)
+    assert {r.v for r in scan(spark, rows, ["v"], [Predicate("v", "GTE", 45)], zones=zones, zone_len=10).collect()} == set(range(40, 100))
+    missing = zone_map(rows, ["v"], 10).withColumn("stats_v", F.when(F.col("zone") != 9, F.col("stats_v")))
+    assert {r.v for r in scan(spark, rows, ["v"], [Predicate("v", "GTE", 85)], zones=missing, zone_len=10, exact=True).collect()} == set(range(85, 100))
+
+
+@pytest.mark.parametrize("value", [10.5, "3", None, True, 1 << 63, -(1 << 63) - 1])
+def test_values_that_are_no_64_bit_integers(value):
+    with pytest.raises(InvalidData):
+        Predicate("v", "LT", value)
+
+
+def test_columns_called_row_offset_and_zone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, 99 - i, i % 3) for i in range(100)], "v bigint, row_offset bigint, zone bigint").coalesce(1).write.parquet(path)
+    assert scan(spark, path).columns == ["v", "row_offset", "zone"] and scan(spark, path).count() == 100
+    got = scan(spark, path, predicates=[Predicate("row_offset", "GTE", 95)], zone_len=10).collect()
+    assert {r.v for r in got} == set(range(10)) and {r.zone for r in got} == {0, 1, 2}
+    with pytest.raises(InvalidData):
+        scan(spark, path, ["v"], row_offset=True)
+
+
+@pytest.fixture
+def clustered(spark, tmp_path):
+    """Twenty row groups' worth of rising numbers in two files."""
+    path = str(tmp_path / "events")
+    spark.range(0, 200_000, 1, 2).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).write.option("parquet.block.size", 1 << 18).option("parquet.page.row.count.limit", 2000).parquet(path)
+    zones = str(tmp_path / "map")
+    store_map(spark.read.parquet(path), ["id"], 1000, zones)
+    return path, zones
+
+
+def scanned_rows(df):
+    """Rows that the file scan of the text column handed on."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    todo, n = [plan], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "FileSourceScanExec" and "h" in [c.split("#")[0] for c in p.output().mkString(",").split(",")]:
+            n += p.metrics().apply("numOutputRows").value()
+        children = p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan() if kind.endswith("QueryStageExec") else None
+        todo += [children] if children is not None else [p.children().apply(i) for i in range(p.children().size())]
+    return n
+
+
+def test_a_stored_map_reads_less(spark, clustered):
+    path, zones = clustered
+    wanted = [Predicate("id", "GTE", 190_500)]
+    full, some = scan(spark, path, ["id", "h"], wanted, zone_len=1000), scan(spark, path, ["id", "h"], wanted, zones=zones)
+    assert {r.id for r in some.collect()} == {r.id for r in full.collect()} == set(range(190_000, 200_000))
+    assert 10_000 <= scanned_rows(some) < scanned_rows(full) / 2
+    assert scan(spark, path, ["id"], [Predicate("id", "LT", -5)], zones=zones).count() == 0
+
+
+def test_a_stored_map_that_does_not_fit_skips_nothing(spark, clustered, tmp_path):
+    path, zones = clustered
+    wanted = [Predicate("id", "GTE", 199_000)]
+    n = lambda z: scan(spark, path, ["id"], wanted, zones=z).count()
+    assert n(zones) == 1000 and n(str(tmp_path / "nothing")) == 200_000
+    other = str(tmp_path / "other")
+    spark.read.parquet(zones).withColumn("note", F.lit("{}")).write.parquet(other)
+    assert n(other) == 200_000
+    odd = str(tmp_path / "odd")
+    spark.read.parquet(zones).withColumn("stats_id", F.lit("x")).write.parquet(odd)
+    assert n(odd) == 200_000
+    for f in (tmp_path / "map").glob("part-*"):
+        f.write_bytes(f.read_bytes()[:200] + b"damage" * 20)
+    for f in (tmp_path / "map").glob(".part-*"):
+        f.unlink()
+    assert n(zones) == 200_000
+    spark.range(200_000, 200_010).select("id", F.lit("new").alias("h")).write.mode("append").parquet(path)
+    store_map(spark.read.parquet(path), ["id"], 1000, zones)
+    assert 1010 <= n(zones) < 10_000
+    spark.range(200_010, 200_020).select("id", F.lit("new").alias("h")).write.mode("append").parquet(path)
+    assert n(zones) == 200_020
+
+
+def test_ranges_run_on_over_stretches(spark):
+    zones = spark.range(10_000).select(F.col("id").alias("zone"), F.lit(2).cast("long").alias("rows"), F.struct(
+        F.when(F.col("id").isin(0, 5000), 0).otherwise(9).cast("long").alias("lo"), F.when(F.col("id").isin(0, 5000), 0).otherwise(9).cast("long").alias("hi"), F.lit(0).cast("long").alias("null_count"),
+        F.lit(False).alias("lo_truncated"), F.lit(False).alias("hi_truncated")).alias("stats_v"))
+    got = sorted((r.start, r.stop) for r in surviving_ranges(zones, [Predicate("v", "GT", 5)], 2).collect())
+    assert got == [(2, 10_000), (10_002, 20_000)]
