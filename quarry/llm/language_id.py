@@ -7,8 +7,10 @@ with the share of new symbols that the context has met as the escape probability
 all bytes alike.  The statistics are frozen: a text's code length under a language is the
 sum over all its bytes, and the language with the shortest code wins.
 
-Because nothing changes while scoring, the trees are compiled into one table of code
-lengths by context and byte, and a text is scored by looking its bytes up.
+Because nothing changes while scoring, each tree is kept as sorted arrays, for every order the
+strings of context and byte with their code lengths and the contexts with those of an escape.
+They hold what occurs and nothing else, under 1 MB a language here.  The
+distinct strings of four bytes in some texts are looked up once each.
 """
 
 from __future__ import annotations
@@ -24,38 +26,80 @@ from quarry.llm.bpe import portions
 from quarry.llm.shared import table, written
 
 ORDER = 3
-#: Bounds of the fit: labelled rows sampled for a language (their whole texts are used), bytes of the compiled table.
-ROWS_PER_LANG, TABLE_BYTES = 1500, 96_000_000
+#: Bound of the fit: labelled rows sampled for a language (their whole texts are used).
+ROWS_PER_LANG = 1500
 #: Stands before the first byte of a text.
 PAD = b"\n" * ORDER
 UNDETERMINED = "und"
+#: Bytes that are looked up at a time.
+STEP = 1 << 20
+
+
+@dataclass
+class Tree:
+    """One language.  By order: strings of that many bytes and one more, as sorted numbers, with the code lengths of the last byte; the contexts, with those of an escape."""
+
+    strings: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte of each four, after the three before it."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for order in range(ORDER, -1, -1):
+            some = codes[left] & ((1 << 8 * (order + 1)) - 1)
+            place, known = _find(self.strings[order], some)
+            out[left[known]] += self.bits[order][place[known]]
+            left, some = left[~known], some[~known]
+            place, met = _find(self.contexts[order], some >> 8)
+            out[left[met]] += self.escapes[order][place[met]]
+        out[left] += 8  # all bytes alike
+        return out
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return place, known[place] == wanted
 
 
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of each byte; 0 for those that the sample lacks
-    node: np.ndarray  # of each context of three symbols
-    bits: np.ndarray  # by node and symbol, a column for each language
+    trees: list[Tree]
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        n = int(self.symbol.max()) + 1
-        out = []
-        for text in texts:
-            if not text or not self.langs or not any(map(str.isalpha, text)):
-                out.append((UNDETERMINED, 0.0))
-                continue
-            s = self.symbol[np.frombuffer(PAD + text.encode(), np.uint8)]
-            total = np.zeros(len(self.langs))
-            for lo in range(0, len(s) - ORDER, 1 << 20):  # long texts in steps, for memory
-                t = s[lo : lo + (1 << 20) + ORDER]
-                at = self.node[(t[:-3] * n + t[1:-2]) * n + t[2:-1]] * n + t[3:]
-                total += self.bits[at].sum(axis=0, dtype=np.float64)
+        able = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        for i, total in zip(able, self._lengths([texts[i].encode() for i in able]), strict=True):
             best = int(total.argmin())
-            out.append((self.langs[best], float(1 / np.exp2(np.maximum(total[best] - total, -1000)).sum())))
+            out[i] = (self.langs[best], float(1 / np.exp2(np.maximum(total[best] - total, -1000)).sum()))
+        return out
+
+    def _lengths(self, texts: list[bytes]) -> np.ndarray:
+        """The code length of each text, which is not empty, under each language; long texts in steps, for memory."""
+        out = np.zeros((len(texts), len(self.langs)))
+        # strings that begin in one text and end in the PAD of the next are left out
+        data = np.frombuffer(PAD + PAD.join(texts), np.uint8)
+        starts = np.cumsum([0, *(len(t) + ORDER for t in texts[:-1]), *([] if texts else [0])])[: len(texts)]
+        for lo in range(0, len(data) - ORDER, STEP):
+            codes = _codes(data[lo : lo + STEP + ORDER])
+            found, of = np.unique(codes, return_inverse=True)
+            text = np.searchsorted(starts, np.arange(lo, lo + len(codes)), "right") - 1
+            inside = np.arange(lo, lo + len(codes)) - starts[text] < np.array([len(t) for t in texts])[text]
+            for k, tree in enumerate(self.trees):
+                out[:, k] += np.bincount(text, np.where(inside, tree.lengths(found)[of], 0), len(texts))
         return out
 
 
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Each four bytes that follow each other, as a number."""
+    b = data.astype(np.int64)
+    return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+
+
 def sample(docs: DataFrame, per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, body: about per_lang of each language's rows, or all where there are fewer, by a hash of the id."""
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
@@ -78,64 +122,37 @@ def count_contexts(labelled: DataFrame) -> DataFrame:
                     codes = []
                     for t, of in zip(texts, langs[part], strict=True):
                         if of == lang:
-                            b = np.frombuffer(PAD + t.encode(), np.uint8).astype(np.uint32)
-                            codes.append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
+                            codes.append(_codes(np.frombuffer(PAD + t.encode(), np.uint8)))
                     code, n = np.unique(np.concatenate(codes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     return labelled.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def compile_model(langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, table_bytes: int = TABLE_BYTES) -> Model:
-    """Trees of all languages as one table; contexts of three bytes are pruned, rarest first, to fit table_bytes."""
-    seen = np.unique(np.concatenate([code & 255, np.frombuffer(PAD, np.uint8).astype(np.int64)])) if len(code) else np.zeros(0, np.int64)
-    symbol = np.zeros(256, np.int64)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    size, n_langs = len(seen) + 1, len(langs)
-    s = [symbol[code >> k & 255] for k in (24, 16, 8, 0)]
-    bits, start = [], 0
-    node = np.zeros(1, np.int64)  # of the empty context
-    below = np.full((1, size, n_langs), 1 / 256)
+def grow(code: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of a language whose texts have each code n times."""
+    strings, bits, contexts, escapes = [], [], [], []
     for order in range(ORDER + 1):
-        context = np.zeros(len(code), np.int64)
-        for k in range(ORDER - order, ORDER):
-            context = context * size + s[k]
-        here, of = np.unique(context, return_inverse=True)
-        if order == ORDER:
-            room = max(1, table_bytes // max(1, size * n_langs * 4) - start)
-            crowd = np.bincount(of, n)
-            if len(here) > room:
-                keep = np.sort(np.argsort(-crowd, kind="stable")[:room])
-                remap = np.full(len(here), -1)
-                remap[keep] = np.arange(room)
-                here, of = here[keep], remap[of]
-        ok = of >= 0
-        counts = np.bincount(((of * size + s[3]) * n_langs + lang)[ok], n[ok], len(here) * size * n_langs).reshape(len(here), size, n_langs)
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        # in node each context of this order gets the place of its longest known suffix; below has the probabilities there
-        if order:
-            shorter = node[np.arange(size**order) % size ** (order - 1)]
-        else:
-            shorter = node
-        base = below[shorter[here] - (start - len(below))] if order else below[np.zeros(len(here), int)]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(total == 0, base, np.where(counts > 0, counts / (total + distinct), distinct / (total + distinct) * base))
-        bits.append((-np.log2(p)).astype(np.float32))
-        node = shorter.copy()
-        node[here] = start + np.arange(len(here))
-        # contexts that are not known here keep pointing at shorter ones, whose probabilities come along
-        below = np.concatenate([below, p]) if order else p
-        start += len(here)
-    return Model(langs, symbol, node, np.concatenate(bits).reshape(-1, n_langs) if n_langs else np.zeros((1, 0), np.float32))
+        found, of = np.unique(code & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        count = np.bincount(of, n, len(found))
+        context, inside = np.unique(found >> 8, return_inverse=True)
+        total, distinct = np.bincount(inside, count, len(context)), np.bincount(inside, minlength=len(context))
+        strings.append(found)
+        bits.append(np.log2(total + distinct)[inside] - np.log2(count))
+        contexts.append(context)
+        escapes.append(np.log2(total + distinct) - np.log2(distinct))
+    return Tree(strings, bits, contexts, escapes)
 
 
 def learn(docs: DataFrame, per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The counts of a bounded sample, summed by Spark, come to the driver; their size depends on per_lang only."""
+    """The counts of a bounded sample, summed by Spark, come to the driver: a row for each distinct string of four bytes of a language."""
     found = count_contexts(sample(docs, per_lang, id_col, text_col, lang_col)).toArrow()
-    names = found["lang"].to_pylist()
-    langs = sorted(set(names))
-    index = {x: i for i, x in enumerate(langs)}
-    return compile_model(langs, np.array([index[x] for x in names], np.int64), found["code"].to_numpy(), found["n"].to_numpy().astype(np.float64))
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    names, of = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
+    code, n = found["code"].to_numpy(), found["n"].to_numpy().astype(np.float64)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return Model([names[k] for k in order], [grow(code[of == k], n[of == k]) for k in order])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -146,7 +163,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     as does every text if nothing could be learned; ties go to the first name in order.
     Null and repeated ids are carried along; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TABLE_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the sample's distinct strings
 
     def run(batches):
         for batch in batches:

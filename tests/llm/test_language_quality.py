@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def test_nothing_to_learn_from(spark, documents):
     assert [tuple(r) for r in language_id.predict(documents([(1, "abc")]), model).collect()] == [(1, "und", 0.0)]
 
 
-def code_length(text, train, order=3):
+def code_length(text, train, order=3, data=None):
     """Bits of text under one language, straight from the definition."""
-    data = b"\n" * order + train.encode()
     counts = {}
-    for i in range(order, len(data)):
-        for o in range(order + 1):
-            c = counts.setdefault(data[i - o : i], {})
-            c[data[i]] = c.get(data[i], 0) + 1
+    for d in data or [b"\n" * order + train.encode()]:
+        for i in range(order, len(d)):
+            for o in range(order + 1):
+                c = counts.setdefault(d[i - o : i], {})
+                c[d[i]] = c.get(d[i], 0) + 1
     raw, bits = b"\n" * order + text.encode(), 0.0
     for i in range(order, len(raw)):
         p = 1.0
@@ -50,14 +52,82 @@ def code_length(text, train, order=3):
     return bits
 
 
-def test_code_lengths_are_exact(spark):
+def code_length_of_many(text, train):
+    """As code_length, each training text beginning anew."""
+    return code_length(text, None, data=[b"\n" * 3 + t.encode() for t in train])
+
+
+def test_code_lengths_are_exact(spark, monkeypatch):
     rows = spark.createDataFrame([(1, EN, "en"), (2, DE, "de")], "doc_id bigint, text string, lang string")
     model = language_id.learn(rows)
-    n = int(model.symbol.max()) + 1
-    for text in ("the house", "das zebra! é", "q"):
-        s = model.symbol[np.frombuffer(language_id.PAD + text.encode(), np.uint8)]
-        at = model.node[(s[:-3] * n + s[1:-2]) * n + s[2:-1]] * n + s[3:]
-        assert np.allclose(model.bits[at].sum(0, dtype=np.float64), [code_length(text, DE), code_length(text, EN)], rtol=1e-4)
+    texts = ["the house", "das zebra! é", "q", "x" * 50 + EN]
+    for step in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "STEP", step)
+        got = model._lengths([t.encode() for t in texts])
+        assert np.allclose(got, [[code_length(t, DE), code_length(t, EN)] for t in texts], rtol=1e-9)
+
+
+def test_the_whole_query_against_the_definition(spark, tmp_path):
+    """Held-out rows are not learned from; languages and scores are those of the plain code lengths; many languages lose no context."""
+    rng = np.random.default_rng(3)
+    letters = {k: rng.choice(list("abcdefghijklmnopqrstuvwxyzäöüß éñ"), 9) for k in ("aa", "bb", "cc", "dd", "ee")}
+    rows = [(i, "".join(rng.choice(letters[k], 40)), k) for i, k in enumerate(list(letters) * 12)] + [(100, None, "aa"), (101, "... 12", "bb"), (102, "abc abc", None), (None, "bcd", "cc")]
+    spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in language_id.op4_language_id(spark, str(tmp_path)).collect()}
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    assert {i: r.held_out for i, r in got.items()} == held
+    train = {k: [t for i, t, lang in rows if lang == k and t and not held[i] and i is not None] for k in letters}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        bits = np.array([code_length_of_many(t, train[k]) for k in letters])
+        assert got[i].lang_pred == list(letters)[bits.argmin()] and np.isclose(got[i].score, 1 / np.exp2(bits.min() - bits).sum(), rtol=1e-6)
+
+
+def test_ties_go_to_the_first_name(spark, documents):
+    model = language_id.learn(spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], "doc_id bigint, text string, lang string"))
+    assert [tuple(r) for r in language_id.predict(documents([(1, "abc")]), model).collect()] == [(1, "a", 0.5)]
+
+
+def test_isotonic_and_ridge_against_dense_ones():
+    """The fit's parts, summed by fold, are those of one dense system."""
+    rng = np.random.default_rng(0)
+    y = rng.random(30)
+    got = quality.rising(np.arange(30.0), y, np.ones(30))
+    best = [max(min(y[a : b + 1].mean() for b in range(i, 30)) for a in range(i + 1)) for i in range(30)]
+    assert np.allclose(got, best)
+
+
+def test_fit_against_one_dense_system(spark):
+    """Weights, calibration and scores as numpy gives them from all rows at once."""
+    texts = [(i, fine(i) if i % 3 else junk(i), float(i % 3 > 0)) for i in range(60)] * 2
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, label double")
+    stats = quality.describe(docs.dropDuplicates(["doc_id"])).cache()
+    labels = docs.dropDuplicates(["doc_id"]).select("doc_id", "label")
+    model = quality.fit(stats, labels)
+    by_id = {r.doc_id: r.stats for r in stats.collect()}
+    label = {i: v for i, _, v in texts}
+    fold = {r.doc_id: r.f for r in labels.selectExpr("doc_id", "CAST(pmod(xxhash64(CAST(doc_id AS STRING), 'fold'), 4) AS INT) AS f").collect()}
+    ids = sorted(by_id)
+    x, y, f = np.array([by_id[i] for i in ids]), np.array([label[i] for i in ids]), np.array([fold[i] for i in ids])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    z = quality.random_cosines(x, mean, scale)
+
+    def solved(keep):
+        ridge = quality.PENALTY * np.eye(z.shape[1]) * max(1.0, keep.sum()) / quality.COSINES
+        ridge[-1, -1] = 0
+        return np.linalg.solve(z[keep].T @ z[keep] + ridge, z[keep].T @ y[keep])
+
+    assert np.allclose(model.weights, solved(np.ones(len(y), bool)), atol=1e-6)
+    raw = np.array([z[i] @ solved(f != f[i]) for i in range(len(y))])
+    bins = np.rint(np.clip(raw, -1, 2) * quality.BINS).astype(int)
+    at = np.unique(bins)
+    want = quality.rising(at / quality.BINS, np.array([y[bins == b].mean() for b in at]), np.array([(bins == b).sum() for b in at], float))
+    assert np.allclose(model.steps, at / quality.BINS) and np.allclose(model.levels, want)
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    assert np.allclose([got[i] for i in ids], np.clip(np.interp(z @ model.weights, model.steps, model.levels), 0, 1))
 
 
 def junk(i):
