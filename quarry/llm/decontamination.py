@@ -65,20 +65,15 @@ def _lookups(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) ->
     return written(each.select("r.term", "window_key", "n_words", "r.offset", "n_terms"), "bench-lookups")
 
 
-def exact_matches(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW
-) -> tuple[DataFrame, DataFrame]:
-    """(hits, windows).
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(whole_text(text_col)).alias("row_key"), *more)
 
-    hits has a row for each row of docs: ``doc_id, n_words, starts``, where ``starts`` lists
-    every occurrence of a window as ``(start, n_words, window_key)``; windows has ``item_id,
-    phrase, n_words, window_key``.  Windows are compared by hashes of 64 bits.
 
-    Null and empty texts have no words and no hits; null ids are an ordinary key; rows that
-    share id and text are looked up once and all answered; items without words and an empty
-    benchmark match nothing.  Extra columns are ignored.
-    """
-    windows = written(benchmark_windows(benchmark, item_col, text_col, window), "bench-windows")
+_SAME_ROW = "d.doc_id <=> f.doc_id AND d.row_key = f.row_key"
+
+
+def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row_key, starts`` of each different row of docs that has a window, as in `exact_matches`."""
     lookups = _lookups(docs, windows, id_col, text_col)
     # the terms alone are few and short, so that they can meet the postings before these are shuffled
     rare = written(lookups.select("term").distinct(), "bench-rare")
@@ -92,15 +87,31 @@ def exact_matches(
     found = written(
         starts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n_words", "window_key")).alias("candidates")), "bench-candidates"
     )
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(whole_text(text_col)).alias("row_key"), F.col(text_col).alias("body"))
-    rows = rows.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.row_key = f.row_key"), "left")
-    rows = rows.select("d.doc_id", words_of(F.col("body")).alias("doc_words"), "candidates")
+    # only texts with candidates are moved to these; which texts they are is told by a narrow table
+    able = written(found.select("doc_id", "row_key"), "bench-able")
+    rows = _rows(docs, id_col, text_col, F.col(text_col).alias("body")).alias("d").join(able.alias("f"), F.expr(_SAME_ROW), "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "row_key"]).alias("d").join(found.alias("f"), F.expr(_SAME_ROW)).select("d.doc_id", "d.row_key", words_of(F.col("body")).alias("doc_words"), "candidates")
     same = lambda c: window_key(F.slice("doc_words", c["start"] + 1, c["n_words"])) == c["window_key"]
-    return rows.select(
-        "doc_id",
-        F.size("doc_words").cast("long").alias("n_words"),
-        F.when(F.col("candidates").isNotNull(), F.filter("candidates", same)).alias("starts"),
-    ), windows
+    return rows.select("doc_id", "row_key", F.filter("candidates", same).alias("starts")).filter(F.size("starts") > 0)
+
+
+def exact_matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, windows).
+
+    hits has a row for each row of docs: ``doc_id, n_words, starts``, where ``starts`` lists
+    every occurrence of a window as ``(start, n_words, window_key)``, null if there is none; windows has ``item_id,
+    phrase, n_words, window_key``.  Windows are compared by hashes of 64 bits.
+
+    Null and empty texts have no words and no hits; null ids are an ordinary key; rows that
+    share id and text are looked up once and all answered; items without words and an empty
+    benchmark match nothing.  Extra columns are ignored.
+    """
+    windows = written(benchmark_windows(benchmark, item_col, text_col, window), "bench-windows")
+    found = written(occurrences(docs, windows, id_col, text_col), "bench-found")
+    rows = _rows(docs, id_col, text_col, F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    return rows.alias("d").join(found.alias("f"), F.expr(_SAME_ROW), "left").select("d.doc_id", "d.n_words", "f.starts"), windows
 
 
 def proximity_matches(
@@ -161,7 +172,8 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated rows; rows that share an id stand or fall together."""
-    dirty = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("dirty_id"))
+    windows = written(benchmark_windows(benchmark, "item_id", text_col, WINDOW), "bench-windows")
+    dirty = occurrences(docs, windows, id_col, text_col).select(F.col("doc_id").alias("dirty_id"))
     dirty = written(dirty.distinct(), "bench-dirty")
     return docs.alias("d").join(dirty.alias("x"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.dirty_id")), "left_anti")
 
