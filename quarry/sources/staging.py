@@ -14,6 +14,9 @@ from quarry.errors import InvalidData
 FOLDER = "spark.checkpoint.dir"
 #: Lets Spark delete the shuffle files of a query as soon as it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of areas that are open, and the temporary folder of a process on one machine without a shared one.
+_AREAS: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,12 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     Where none is set, a session on one machine gets a temporary one; on a cluster that is
     an error, as executors would each write to a disk of their own.
     """
+    if _AREAS:
+        return _AREAS[-1]
     found = spark.conf.get(FOLDER, None)
     if not found:
         if not spark.conf.get("spark.master", "").split("[")[0] == "local":
             raise InvalidData(f"{FOLDER} must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set(FOLDER, found)
+        found = _OWN.setdefault("folder", _OWN.get("folder") or tempfile.mkdtemp(prefix="quarry-"))
     return found
 
 
@@ -40,28 +44,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is stored within leaves no shuffle files behind."""
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def staging_area(spark: SparkSession) -> Iterator[str]:
     """Tables written within go to a folder of their own, which is deleted at the end; results must be stored by then."""
-    before = spark.conf.get(FOLDER, None)
     area = f"{shared_dir(spark)}/area-{uuid.uuid4().hex}"
-    spark.conf.set(FOLDER, area)
+    _AREAS.append(area)
     try:
         yield area
     finally:
-        spark.conf.unset(FOLDER) if before is None else spark.conf.set(FOLDER, before)
+        _AREAS.remove(area)
         path = spark._jvm.org.apache.hadoop.fs.Path(area)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def forget_shuffles(spark: SparkSession) -> None:
-    """Kept for callers of before; `written` lets Spark delete what it is done with."""
