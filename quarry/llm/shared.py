@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.staging import forget_shuffles, written
+from quarry.sources.staging import shuffles_dropped, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,4 +35,4 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-__all__ = ["ascii_lower", "forget_shuffles", "row_key", "table", "whole_text", "written"]
+__all__ = ["ascii_lower", "row_key", "shuffles_dropped", "table", "whole_text", "written"]

@@ -1,9 +1,10 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes.
+"""Repeated byte strings by sampled anchors and hashes of ever longer stretches.
 
-Every string of LENGTH bytes that also starts earlier is to go.  Suffixes are ordered only
-as far as LENGTH bytes, by most-significant-digit passes over ever longer digits, and after
-each pass what is alone in its group is dropped; the groups of the last pass are exactly
-the repeated strings.
+Every string of LENGTH bytes that also starts earlier is to go.  As in a depth-limited radix
+sort, groups are refined over ever longer stretches up to LENGTH bytes, and after each pass
+what is alone in its group is dropped; the groups of the last pass are exactly the repeated
+strings.  But no suffix is sorted: all suffixes of 0.5 GB are 0.5 billion rows, far over what
+the disks may hold, so one position in about forty stands for the strings around it.
 
 1. Digit of ANCHOR bytes.  A string is represented by the anchor, of all positions in it,
    whose next ANCHOR bytes hash lowest.  Equal strings have equal anchors at equal places, and
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import forget_shuffles, row_key, table, whole_text, written
+from quarry.llm.shared import row_key, shuffles_dropped, table, whole_text, written
 
 LENGTH, ANCHOR = 100, 24
 #: Bytes on one side of the anchor: a string has that many before it, or else behind it.
@@ -289,8 +290,8 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
     """df as a table bucketed by document, so that later joins on doc_id do not move it."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").format("parquet").saveAsTable(name)
-    forget_shuffles(spark)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
