@@ -6,7 +6,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 
 from quarry.llm.bpe import decode, default_vocabulary, encode, round_trip, vocabulary  # noqa: E402
-from quarry.llm.token_counts import SumTree, clean_edits, count_batch, count_edited, edited_text  # noqa: E402
+from quarry.llm.token_counts import BLOCK, FULL, SumTree, clean_edits, count_batch, count_edited, edit_batch, edit_trees, edited_text, plant_batch, plant_trees  # noqa: E402
 
 PIECES = ["the", " ", "  ", "\n", "ing", "é", "1", "23", "'s", "'", "!!", "日本", "😀", "qu", "Z", "'l", "l", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|endof", "-", "aaa"]
 
@@ -95,3 +95,62 @@ def test_sum_tree():
             counts[a : a + len(new)] = new
             tree.put(a, new)
             assert tree.total == counts.sum()
+
+
+def random_edits(rng, text, most=4, longest=5, words=3):
+    edits = []
+    for _ in range(rng.randrange(most)):
+        a = rng.randrange(len(text) + 1)
+        edits.append({"start": a, "end": min(len(text), a + rng.randrange(longest)), "text": "".join(rng.choice(PIECES) for _ in range(rng.randrange(words)))})
+    return clean_edits(edits, len(text))
+
+
+def as_planted(v, text, tree):
+    fresh = plant_batch(v, [text])[0]
+    ends = np.cumsum(tree.blocks)
+    sums = [int(tree.tokens[a:b].sum()) for a, b in zip(ends - tree.blocks, ends, strict=True)]
+    assert tree.words.tolist() == fresh.words.tolist() and tree.tokens.tolist() == fresh.tokens.tolist()
+    assert ends[-1] == len(tree.words) and max(tree.blocks) <= FULL * BLOCK
+    assert [level.tolist() for level in tree.sums.levels] == [level.tolist() for level in SumTree(np.array(sums)).levels]
+
+
+def test_many_batches_of_edits_on_one_tree():
+    v, rng = vocabulary(default_vocabulary()), random.Random(5)
+    for text in ["", *texts(20, 8), "".join(texts(60, 9)), "some words " * 900]:
+        tree = plant_batch(v, [text])[0]
+        for turn in range(12):
+            edits = random_edits(rng, text, most=9, longest=(5, 300)[turn % 2], words=(3, 900)[turn % 4 == 3])
+            (text,), _ = edit_batch(v, [text], [tree], [edits])
+            as_planted(v, text, tree)
+
+
+def test_only_regions_are_split_and_encoded(monkeypatch):
+    v = vocabulary(default_vocabulary())
+    text = "some words " * 2000
+    tree = plant_batch(v, [text])[0]
+    seen = []
+    monkeypatch.setattr(v, "prepare", lambda lists: (seen.extend(w for words in lists for w in words), type(v).prepare(v, lists)))
+    monkeypatch.setattr(v, "split", lambda text: pytest.fail("the whole text was split"))
+    for edits in ([(9000, 9004, "new")], [(12, 13, "x"), (15000, 15000, " and")]):
+        (text,), _ = edit_batch(v, [text], [tree], [edits])
+    monkeypatch.undo()
+    assert 0 < len(seen) < 20
+    as_planted(v, text, tree)
+
+
+def test_edits_on_stored_trees(spark, documents, tmp_path):
+    v = vocabulary(default_vocabulary())
+    rows = [(1, "abc def"), (1, "abc def"), (None, "x y z"), (2, None), (3, ""), (4, "wörd " * 40_000), (5, "a <|endoftext|> b")]
+    fields = "array(named_struct('start', {}, 'end', {}, 'text', '{}'))"
+    trees = plant_trees(documents(rows))
+    for turn, (start, end, new) in enumerate([(0, 0, "new "), (2, 3, "w and")]):
+        trees.write.parquet(str(tmp_path / str(turn)))
+        stored = spark.read.parquet(str(tmp_path / str(turn)))
+        trees = edit_trees(stored.selectExpr("*", fields.format(start, end, new) + " AS changes"), "changes")
+        rows = [(i, edited_text(t or "", clean_edits([{"start": start, "end": end, "text": new}], len(t or "")))) for i, t in rows]
+    got = trees.collect()
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(rows, key=key)
+    assert all(r.n_tokens_edited == r.sums[-1] == sum(r.tokens) == len(v.encode_batch([r.text])[0]) // 4 and sum(r.words) == len(r.text) for r in got)
+    assert all(r.n_recounted < 12 for r in got)
+    assert edit_trees(plant_trees(documents([])), None).count() == 0
