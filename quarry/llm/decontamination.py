@@ -91,9 +91,12 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
     # only texts with candidates are moved to these; which texts they are is told by a narrow table
     able = written(found.select("doc_id", "row_key"), "bench-able")
     rows = _rows(docs, id_col, text_col, F.col(text_col).alias("body")).alias("d").join(able.alias("f"), F.expr(_SAME_ROW), "left_semi")
-    rows = rows.dropDuplicates(["doc_id", "row_key"]).alias("d").join(found.alias("f"), F.expr(_SAME_ROW)).select("d.doc_id", "d.row_key", words_of(F.col("body")).alias("doc_words"), "candidates")
-    same = lambda c: window_key(F.slice("doc_words", c["start"] + 1, c["n_words"])) == c["window_key"]
-    return rows.select("doc_id", "row_key", F.filter("candidates", same).alias("starts")).filter(F.size("starts") > 0)
+    rows = rows.alias("d").join(found.alias("f"), F.expr(_SAME_ROW)).select("d.doc_id", "d.row_key", "body", "candidates")
+    same = lambda words, c: window_key(F.slice(words, c["start"] + 1, c["n_words"])) == c["window_key"]
+    # the texts' words are handed in as an argument, so that they are found once and not for each candidate
+    kept = F.flatten(F.transform(F.array(words_of(F.col("body"))), lambda words: F.filter("candidates", lambda c: same(words, c))))
+    checked = written(rows.select("doc_id", "row_key", kept.alias("starts")), "bench-starts")
+    return checked.filter(F.size("starts") > 0).dropDuplicates(["doc_id", "row_key"])
 
 
 def exact_matches(
