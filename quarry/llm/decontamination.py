@@ -4,7 +4,8 @@ Every benchmark window (ten consecutive words, or a shorter item as a whole) is
 through its rarest term, and the next rarest where its list is not much longer.  Term counts come from all documents.  Postings are only kept
 for terms that some window looks up; each posting, moved back by the term's offset in the
 window, is a possible start, and starts on which both lists agree are compared with the
-document's own words.  So no list of a frequent term is ever read for a window that has a
+document's own words.  A posting also has the words before and behind it, and is left
+out at once where the window has others there.  So no list of a frequent term is ever read for a window that has a
 rarer one, and nothing is lost: an exact occurrence has every term at its offset.
 """
 
@@ -45,25 +46,32 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
 
 
 def _postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    words = words_of(F.col(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"), row_key(whole_text(text_col)).alias("row_key"), F.posexplode(words).alias("pos", "term"))
+    """doc_id, row_key, pos, term, before, next: each word of each document with the words around it, null at its ends."""
+    words = _rows(docs, id_col, text_col, words_of(F.col(text_col)).alias("words"))
+    return words.select("doc_id", "row_key", F.posexplode(_with_neighbours("words")).alias("pos", "w")).select("doc_id", "row_key", "pos", "w.term", "w.before", "w.next").filter("term IS NOT NULL")
+
+
+def _with_neighbours(words: str) -> Column:
+    ahead = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.arrays_zip(F.col(words), ahead, F.slice(words, 2, F.size(words))).cast("array<struct<term:string,before:string,next:string>>")
 
 
 def _lookups(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, window_key, n_words, offset, n_terms: for each window its rarest terms, with an offset of each."""
-    terms = windows.select("window_key", "n_words", "phrase").distinct().select("window_key", "n_words", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
+    """term, before, next, window_key, n_words, offset, n_terms: for each window its rarest terms, with an offset of each and the words around it."""
+    phrases = windows.select("window_key", "n_words", "phrase").distinct().select("window_key", "n_words", F.split("phrase", " ").alias("words"))
+    terms = phrases.select("window_key", "n_words", F.posexplode(_with_neighbours("words")).alias("offset", "w")).select("window_key", "n_words", "offset", "w.term", "w.before", "w.next")
     vocabulary = written(terms.select("term").distinct(), "bench-vocabulary")
     seen = docs.select(F.explode(words_of(F.col(text_col))).alias("term"))
     counts = seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
-    per_term = terms.groupBy("window_key", "n_words", "term").agg(F.min("offset").alias("offset"))
+    per_term = terms.groupBy("window_key", "n_words", "term").agg(F.min(F.struct("offset", "before", "next")).alias("at"))
     # a window with a term that no document has is out; the terms of the others are ordered by rarity
     ranked = per_term.join(counts, "term", "left").groupBy("window_key", "n_words").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n_seen", F.lit(0)).alias("n_seen"), "term", "offset"))).alias("ranked")
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n_seen", F.lit(0)).alias("n_seen"), "term", "at"))).alias("ranked")
     )
     least = F.element_at("ranked", 1)["n_seen"]
     top = F.filter(F.slice("ranked", 1, 2), lambda r: r["n_seen"] <= least * LONGER)
     each = ranked.filter(least > 0).select("window_key", "n_words", F.size(top).alias("n_terms"), F.explode(top).alias("r"))
-    return written(each.select("r.term", "window_key", "n_words", "r.offset", "n_terms"), "bench-lookups")
+    return written(each.select("r.term", "r.at.before", "r.at.next", "window_key", "n_words", "r.at.offset", "n_terms"), "bench-lookups")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -77,8 +85,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
     """``doc_id, row_key, starts`` of each different row of docs that has a window, as in `exact_matches`."""
     lookups = _lookups(docs, windows, id_col, text_col)
     # the terms alone are few and short, so that they can meet the postings before these are shuffled
-    rare = written(lookups.select("term").distinct(), "bench-rare")
-    listed = _postings(docs, id_col, text_col).join(rare, "term", "left_semi").join(lookups, "term")
+    rare = written(lookups.select("term", "before", "next").distinct(), "bench-rare")
+    fits = F.expr("p.term = r.term AND (r.before IS NULL OR r.before = p.before) AND (r.next IS NULL OR r.next = p.next)")
+    listed = _postings(docs, id_col, text_col).alias("p").join(rare.alias("r"), fits, "left_semi").alias("p").join(lookups.alias("r"), fits)
     starts = (
         listed.filter(F.col("pos") >= F.col("offset"))
         .groupBy("doc_id", "row_key", (F.col("pos") - F.col("offset")).alias("start"), "window_key", "n_words", "n_terms")
