@@ -10,6 +10,8 @@ would each repeat the encoder's work.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,22 @@ def unchunked(decoded: DataFrame, name: str) -> DataFrame:
     return each.select((F.col("chunk") * CHUNK + F.col("pos")).alias("row_offset"), name)
 
 
+def zipped(fields: dict[str, DataFrame]) -> DataFrame:
+    """``chunk, vals`` with the structs of fields that were coded apart.
+
+    Fields meet chunk by chunk and are told apart from rows only afterwards.  The join is
+    sorted: encoded files are so much smaller than what they decode to that Spark would take
+    one side for small, and broadcast all its values.
+    """
+    (first, out), *rest = [(name, df.select("chunk", F.col("vals").alias(f"__{i}"))) for i, (name, df) in enumerate(fields.items())]
+    for _, df in rest:
+        out = out.hint("merge").join(df, "chunk")
+    names = [first, *[name for name, _ in rest]]
+    same = reduce(lambda a, b: a & b, [F.size(f"__{i}") == F.size("__0") for i in range(len(names))])
+    parts = [F.col(f"__{i}").alias(name) for i, name in enumerate(names)]
+    return out.select("chunk", require(same, F.arrays_zip(*parts), "fields of different lengths").alias("vals"))
+
+
 def require(ok: Column, value: Column, what: str) -> Column:
     """value where ok holds; else the query fails, as encoded data that breaks its rules must not be read on."""
     return F.when(ok, value).otherwise(F.raise_error(F.lit(f"invalid data: {what}")).cast("void"))

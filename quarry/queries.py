@@ -397,19 +397,19 @@ def zstd_decode(spark, d):
 
 
 def _strings(spark, d, encode, decode) -> DataFrame:
-    """Customer names, every seventh null, decoded and put back beside their keys by position."""
+    """Customer names, every seventh null, decoded and put back beside their keys chunk by chunk."""
     rows = at(spark, d, "customer")
-    decoded = C.unchunked(decode(written(encode(written(C.chunked(rows.select(ROW_OFFSET, _nulled("c_name", 7).alias("v")), "v"), "chunks")), "encoded")), "v")
-    return rows.select(F.col("c_custkey").alias("row_id"), ROW_OFFSET).join(decoded, ROW_OFFSET).select("row_id", "v")
+    decoded = decode(written(encode(written(C.chunked(rows.select(ROW_OFFSET, _nulled("c_name", 7).alias("v")), "v"), "chunks")), "encoded"))
+    return C.unchunked(C.zipped({"row_id": C.chunked(rows, "c_custkey"), "v": decoded}), "s").select("s.row_id", "s.v")
 
 
 @query("SELECT o_orderkey AS row_id, o_orderstatus AS status, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS cust FROM orders")
 def struct_decode(spark, d):
     """A struct whose fields are coded apart, with a validity of its own."""
     rows = at(spark, d, "orders")
-    status = C.unchunked(C.dict_decode(written(C.dict_encode(C.chunked(rows.select(ROW_OFFSET, F.col("o_orderstatus").alias("v")), "v")), "encoded")), "status")
-    cust = C.unchunked(C.masked_decode(written(C.masked_encode(C.chunked(rows.select(ROW_OFFSET, _nulled("o_custkey", 4).alias("v")), "v"), F.lit(0)), "encoded"), "bigint"), "cust")
-    both = status.join(cust, ROW_OFFSET).select(ROW_OFFSET, F.struct("status", "cust").alias("s"))
+    status = C.dict_decode(written(C.dict_encode(C.chunked(rows.select(ROW_OFFSET, F.col("o_orderstatus").alias("v")), "v")), "encoded"))
+    cust = C.masked_decode(written(C.masked_encode(C.chunked(rows.select(ROW_OFFSET, _nulled("o_custkey", 4).alias("v")), "v"), F.lit(0)), "encoded"), "bigint")
+    both = C.unchunked(C.zipped({"status": status, "cust": cust}), "s")
     return both.select(F.col(ROW_OFFSET).alias("row_id"), "s.status", "s.cust")
 
 

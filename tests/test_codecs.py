@@ -145,3 +145,21 @@ def test_constant_chunks_only(spark):
             assert "not constant" in str(e)
         else:
             raise AssertionError(vals)
+
+
+def test_fields_meet_by_chunk_without_a_broadcast(spark):
+    """Encoded files are tiny beside what they decode to, so no side may be taken for small."""
+    values = {"a": [None if i % 3 == 0 else "x" for i in range(2100)], "b": [i % 5 for i in range(2100)]}
+    coded = {k: C.dict_decode(written(C.dict_encode(chunks(spark, v, kind)), "coded")) for (k, v), kind in zip(values.items(), ("string", "bigint"), strict=True)}
+    both = C.unchunked(C.zipped(coded), "s").select("row_offset", "s.a", "s.b")
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, both.collect())) == list(zip(range(2100), values["a"], values["b"], strict=True))
+    with pytest.raises(Exception, match="different lengths"):
+        C.zipped({"a": coded["a"], "b": chunks(spark, [1], "bigint").union(chunks(spark, range(2000), "bigint").filter("chunk > 0"))}).collect()
+
+
+@pytest.mark.parametrize("name", ["struct_decode", "varbin_decode"])
+def test_queries_of_coded_fields_broadcast_nothing(spark, name):
+    from quarry.queries import queries
+
+    assert "Broadcast" not in queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
