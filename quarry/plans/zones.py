@@ -12,12 +12,13 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegralType, LongType, StructType
 
 from quarry.errors import InvalidData
 from quarry.operators.predicates import Predicate, all_null, excludes, prunable, usable
+from quarry.sources.staging import written
 from quarry.sources.tables import ROW_OFFSET, with_row_offset
 
 ZONE = "zone"
@@ -54,16 +55,17 @@ def surviving(zones: DataFrame, predicates: Iterable[Predicate]) -> DataFrame:
 def surviving_ranges(zones: DataFrame, predicates: Iterable[Predicate], zone_len: int) -> DataFrame:
     """``start, stop``: surviving zones as row ranges, neighbours merged.
 
-    Runs are found within stretches of 4096 zones, and the few of each stretch are merged
-    with those of the next by one pass over them.
+    Runs are found within stretches of 4096 zones by counting, and the few that reach a
+    stretch's border are merged with those of the next by one pass over them.  The zone
+    map is made once, as the runs are stored before they are merged.
     """
-    kept = surviving(zones, predicates).select(ZONE, "rows")
-    stretch = kept.groupBy(F.expr(f"{ZONE} DIV 4096").alias("stretch")).agg(F.sort_array(F.collect_list(ZONE)).alias("z"), F.max_by("rows", ZONE).alias("last_rows"))
-    runs = stretch.select(
-        F.explode(F.filter("z", lambda x: ~F.array_contains("z", x - 1))).alias("first"), "z", "last_rows"
-    ).withColumn("last", F.element_at(F.filter("z", lambda x: (x >= F.col("first")) & ~F.array_contains("z", x + 1)), 1))
-    stop = F.when(F.col("last") == F.element_at("z", -1), F.col("last") * zone_len + F.col("last_rows")).otherwise((F.col("last") + 1) * zone_len)
-    ranges = runs.select((F.col("first") * zone_len).alias("start"), stop.alias("stop"))
+    kept = surviving(zones, predicates).select(ZONE, "rows", F.expr(f"{ZONE} DIV 4096").alias("stretch"))
+    # zones of a run rise as fast as their numbers
+    run = F.col(ZONE) - F.row_number().over(Window.partitionBy("stretch").orderBy(ZONE))
+    end = F.max(ZONE).over(Window.partitionBy("stretch"))
+    runs = kept.withColumns({"run": run, "end": end}).groupBy("stretch", "run", "end").agg(F.min(ZONE).alias("first"), F.max(ZONE).alias("last"), F.max_by("rows", ZONE).alias("last_rows"))
+    stop = F.when(F.col("last") == F.col("end"), F.col("last") * zone_len + F.col("last_rows")).otherwise((F.col("last") + 1) * zone_len)
+    ranges = written(runs.select((F.col("first") * zone_len).alias("start"), stop.alias("stop")), "zone-ranges")
     # only ranges that touch a stretch's border can go on in the next one, two a stretch at most
     width = 4096 * zone_len
     at_border = (F.col("start") % width == 0) | (F.col("stop") % width == 0)

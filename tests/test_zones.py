@@ -240,3 +240,23 @@ def test_ranges_run_on_over_stretches(spark):
         F.lit(False).alias("lo_truncated"), F.lit(False).alias("hi_truncated")).alias("stats_v"))
     got = sorted((r.start, r.stop) for r in surviving_ranges(zones, [Predicate("v", "GT", 5)], 2).collect())
     assert got == [(2, 10_000), (10_002, 20_000)]
+
+
+def test_ranges_of_many_zones(spark):
+    """Thousands of runs in each stretch, and some over its border: found by counting, so that the work grows as the zones do."""
+    n = 3 * 4096 + 100
+    keep = [i % 2 == 0 or i // 4096 == 1 and i % 4096 > 3000 or i in (4095, 8192, 8193) or i * 7919 % 13 == 1 for i in range(n)]
+    zones = spark.range(n).selectExpr("id AS zone", "CASE WHEN id = " + str(n - 1) + " THEN 3L ELSE 10L END AS rows", "id AS v")
+    zones = zones.join(spark.createDataFrame(list(enumerate(keep)), "v bigint, kept boolean"), "v").selectExpr(
+        "zone", "rows", "named_struct('lo', CAST(kept AS BIGINT), 'hi', CAST(kept AS BIGINT), 'null_count', 0L, 'lo_truncated', false, 'hi_truncated', false) AS stats_v"
+    )
+    wanted, start = [], None
+    for i, k in enumerate([*keep, False]):
+        if k and start is None:
+            start = i
+        if not k and start is not None:
+            wanted.append((start * 10, min(i * 10, (n - 1) * 10 + 3)))
+            start = None
+    ranges = surviving_ranges(zones, [Predicate("v", "EQ", 1)], 10)
+    assert "array_contains" not in ranges._jdf.queryExecution().toString()  # a look at all zones for each
+    assert sorted(map(tuple, ranges.collect())) == wanted and len(wanted) > 3000
