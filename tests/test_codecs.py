@@ -163,3 +163,30 @@ def test_queries_of_coded_fields_broadcast_nothing(spark, name):
     from quarry.queries import queries
 
     assert "Broadcast" not in queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_chunks_are_python_values_at_a_time(spark):
+    """A batch of thousands of chunks is not turned into Python values as a whole."""
+    def held(batch_rows):
+        seen = []
+
+        class Batch:
+            num_rows = batch_rows
+
+            def slice(self, start, n):
+                seen.append(min(n, batch_rows - start))
+                return self
+
+            def to_pylist(self):
+                return [{"chunk": i, "n": 1} for i in range(seen[-1])] if seen else [{"chunk": i, "n": 1} for i in range(batch_rows)]
+
+        class Rows:
+            sparkSession = spark
+
+            def mapInArrow(self, run, schema):
+                return [b.num_rows for b in run([Batch()])]
+
+        return K.each_chunk(Rows(), lambda n: {"n": n}, "n int")
+
+    made = held(1000)
+    assert sum(made) == 1000 and max(made) <= K.AT_ONCE and held(0) == []
