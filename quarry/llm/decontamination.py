@@ -188,7 +188,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     windows = written(benchmark_windows(benchmark, "item_id", text_col, WINDOW), "bench-windows")
     dirty = occurrences(docs, windows, id_col, text_col).select(F.col("doc_id").alias("dirty_id"))
     dirty = written(dirty.distinct(), "bench-dirty")
-    return docs.alias("d").join(dirty.alias("x"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.dirty_id")), "left_anti")
+    return docs.alias("d").join(dirty.alias("x").hint("merge"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.dirty_id")), "left_anti")
 
 
 def op7_benchmark_decontamination(spark, sf_dir):

@@ -53,7 +53,7 @@ def exact_dedup(
                               F.xxhash64(ascii_lower(F.substring(whole_text(text_col), 1, prefix_chars))).alias("prefix_key"),
                               text.alias("full"))
         content = content.alias("c").join(
-            picked.alias("p"), F.expr("c.doc_id <=> p.doc_id AND c.n_bytes = p.n_bytes AND c.prefix_key = p.prefix_key"), "left_semi"
+            picked.alias("p").hint("merge"), F.expr("c.doc_id <=> p.doc_id AND c.n_bytes = p.n_bytes AND c.prefix_key = p.prefix_key"), "left_semi"
         )
         survivors = written(content.select("doc_id", "n_bytes", "prefix_key", F.sha2("full", 256).alias("text_sha256")), "exact-digests")
     groups = (
@@ -93,7 +93,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dropped = written(dropped.distinct(), "exact-dropped")
     here = F.col(f"d.`{id_col}`"), F.sha2(ascii_lower(whole_text(F.col(f"d.`{text_col}`"))), 256)
     return docs.alias("d").join(
-        dropped.alias("x"), here[0].eqNullSafe(F.col("x.dropped_id")) & (here[1] == F.col("x.dropped_sha")), "left_anti"
+        dropped.alias("x").hint("merge"), here[0].eqNullSafe(F.col("x.dropped_id")) & (here[1] == F.col("x.dropped_sha")), "left_anti"
     )
 
 

@@ -301,7 +301,7 @@ def drop_near_copies(docs: DataFrame, n_words: int = WORDS, percent: int = PERCE
     """docs with one document of each group of near copies, the one with the smallest id."""
     gone = near_duplicates(docs, n_words, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
     gone = written(gone.distinct(), "minhash-gone")
-    return docs.alias("d").join(gone.alias("x"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.gone_id")), "left_anti")
+    return docs.alias("d").join(gone.alias("x").hint("merge"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.gone_id")), "left_anti")
 
 
 def op2_minhash_near_dedup(spark, sf_dir):

@@ -2,6 +2,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from quarry.llm.decontamination import drop_contaminated
+from quarry.llm.exact_dedup import drop_exact_copies
+from quarry.llm.minhash_dedup import drop_near_copies
 from quarry.llm.shared import written
 
 from .test_decontamination import words
@@ -79,3 +82,11 @@ def test_empty_documents(spark, small, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, d), "stage")
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("drop", [drop_exact_copies, drop_near_copies, lambda docs: drop_contaminated(docs, docs.selectExpr("doc_id AS item_id", "text").limit(1))])
+def test_dropping_takes_the_same_way_at_any_size(documents, drop):
+    """Ids to drop are not broadcast while they are few, as figures of small tables would then say nothing of large ones."""
+    docs = documents([(i, f"some text of ten words or more that is number {i % 3} of a few") for i in range(9)])
+    plan = drop(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
